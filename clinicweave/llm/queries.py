@@ -6,17 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, ngram_join, packing, warc
+from . import ann, bpe, langid, line_dedup, media, ngram_join, packing, quality, toxicity, warc
 from .common import read, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _crc(column: F.Column) -> F.Column:
+    return F.crc32(column.cast("string").cast("binary"))
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = write_table(media.to_media(read(spark, sf_dir, "documents")), "media")
     return media.probe(stored)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = _crc(F.col("doc_id")) % 4 == 2
+    models = langid.train(docs.where(~F.coalesce(held, F.lit(True))).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, models)
+    return found.select("doc_id", (_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = _crc(F.col("doc_id")) % 3 == 1
+    found = toxicity.score(docs, toxicity.train(docs, labels.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return found.select("doc_id", F.col("n_lines"), F.col("n_removed"), F.col("text"))
@@ -35,8 +54,19 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = _crc(F.col("doc_id")) % 3 == 1
+    found = quality.score(docs, quality.train(docs, labels.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_line_dedup, op5_bpe, op6_warc, op7_ngram_jaccard, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_toxicity, op4_line_dedup, op5_bpe, op6_warc, op7_ngram_jaccard, op8_ann, op9_quality, op10_packing)}

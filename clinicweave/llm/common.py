@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 _PATHS: list[str] = []
@@ -77,6 +78,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def plus(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    """A copy of `schema` with more columns."""
+    return T.StructType([*schema.fields, *(T.StructField(k, v) for k, v in more.items())])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a long, b long): rows (v, c), c the smallest id reachable.
 

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small, write_table
+from .common import plus, small, write_table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -141,7 +142,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = write_table(removed_lines(docs, id_col, text_col, min_chars).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("at").alias("__gone")), "gone")
     joined = docs.join(small(gone, gone.count()), docs[id_col].cast("long") == gone["__doc"], "left").drop("__doc")
     names = docs.columns
-    schema = docs.schema.add("n_lines", "long").add("n_removed", "long") if counts else docs.schema
+    schema = plus(docs.schema, n_lines=T.LongType(), n_removed=T.LongType()) if counts else docs.schema
     at = names.index(text_col)
 
     def rebuild(batches):

@@ -12,13 +12,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import plus
 
 BUCKETS, DIM, SIZES = 1 << 17, 12, (3, 4)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def buckets(raw: bytes, count: int = BUCKETS) -> np.ndarray:
-    """Buckets of the words of a UTF-8 text and of the n-grams of their bytes, ends marked."""
+    """Buckets of the words of a UTF-8 text, of the n-grams of their bytes, ends marked, and of repeats."""
     b = np.frombuffer(b" " + raw + b" ", np.uint8)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     x = (np.where(space, 32, b).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -45,7 +48,9 @@ def buckets(raw: bytes, count: int = BUCKETS) -> np.ndarray:
         s, e = starts[some], ends[some]
         plain = total[e] - total[s]
         placed = mixed[e] - mixed[s] - (np.uint64(2) * s.astype(np.uint64)) * _sum(x, s, e)
-        out.append(((plain ^ (placed * _K)) * _K >> shift).astype(np.int64))
+        words = (plain ^ (placed * _K)) * _K
+        out.append((words >> shift).astype(np.int64))
+        out.append(np.full(int((words[1:] == words[:-1]).sum()), count - 1))  # a word that follows itself
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
@@ -127,14 +132,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     return Classifier(prior).fit(list(zip(each("at", np.int64), each("part", np.float32))), label)
 
 
-def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of each whole text; null, empty and blank ones get the training share."""
+def with_score(docs: DataFrame, model: Classifier, text_col: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a column `out` (0 to 1) for each whole text; a column of that name is replaced.
+
+    Null, empty and blank texts get the training share. Rows and other columns stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** 17 numbers at most
+    docs = docs.drop(out)
+    names, at_text = docs.columns, docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 100), pa.array([m.score(t) for t in batch.column(1).slice(at, 100).to_pylist()], pa.float64())], names=["doc_id", "score"])
+                part = batch.slice(at, 100)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.score(t) for t in part.column(at_text).to_pylist()], pa.float64())], names=[*names, out])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, plus(docs.schema, **{out: T.DoubleType()}))
+
+
+def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of each whole text, as `with_score` gives it."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_score(slim, model).select("doc_id", "score")

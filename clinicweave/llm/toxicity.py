@@ -2,8 +2,8 @@
 
 The lexicon is learnt: words, and stems of four and five letters, that toxic rows of the bounded
 sample use far more often than others. Features are its densities, its nearness to second-person
-words, and rates of capitals, punctuation and obfuscated spellings. While the trees are fitted a
-row's own words are taken out of the lexicon's counts, so that the trees see what new texts show.
+words, and rates of capitals, punctuation and obfuscated spellings. The rows that fit the trees take
+their features from lexicons counted without their own fold, so that trees see what new texts show.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import write_table
+from .common import plus, write_table
 from .quality import bounded_sample
 
 # Second-person words of English, German, French, Spanish, Italian and Portuguese.
@@ -31,7 +32,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 FEATURES = ["size", "peak", "mass", "density", "hits", "second_near", "second", "capitals", "signs", "exclaims", "obfuscated", "hidden_hits"]
-NEAR = 6
+NEAR, FOLDS = 6, 5
 
 
 def word(chunk: str) -> str:
@@ -52,12 +53,13 @@ def entries(w: str) -> list[str]:
 def _terms(batches):
     """Distinct keys of each labelled text."""
     for batch in batches:
-        keys, labels = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys, labels, folds = [], [], []
+        for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
             found = {k for w in {word(c) for c in set((text or "").split())} for k in entries(w)}
             keys += found
             labels += [label] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(labels, pa.int32())], names=["term", "label"])
+            folds += [fold] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(labels, pa.int32()), pa.array(folds, pa.int32())], names=["term", "label", "fold"])
 
 
 class Lexicon:
@@ -86,8 +88,8 @@ class Lexicon:
         self.rows.append((*look(keys, 0), *look(keys, 1), *look(hidden, 0), *look(hidden, 1), w in SECOND, odd))
         return at
 
-    def features(self, text: str | None, label: int | None = None) -> list[float]:
-        """Features of a text; with its `label`, without what the row itself added to the counts."""
+    def features(self, text: str | None) -> list[float]:
+        """Features of a text, in the order of FEATURES."""
         text = text or ""
         raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         chunks = text.split()
@@ -104,11 +106,10 @@ class Lexicon:
             new = np.array(self.rows[0 if self.table is None else len(self.table) :], np.float32)
             self.table = new if self.table is None else self._grown(new)
         t = self.table[ids]
-        dt, dc = (0, 0) if label is None else (label, 1 - label)
 
         def weight(a: int) -> np.ndarray:
-            x, c = np.maximum(t[:, a : a + 3] - dt, 0), np.maximum(t[:, a + 3 : a + 6] - dc, 0)
-            w = np.log((x + 0.5) / (self.toxic - dt + 1)) - np.log((c + 0.5) / (self.clean - dc + 1))
+            x, c = t[:, a : a + 3], t[:, a + 3 : a + 6]
+            w = np.log((x + 0.5) / (self.toxic + 1)) - np.log((c + 0.5) / (self.clean + 1))
             return np.where(x + c >= self.least, w, 0).max(axis=1)
 
         w, second, odd = weight(0), t[:, 12] > 0, t[:, 13] > 0
@@ -146,47 +147,69 @@ class Model:
         self.prior, self.lexicon, self.trees, self.calibration = prior, lexicon, trees, calibration
 
 
-def _features(df: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, label_col: str | None) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # bounded by `max_terms`
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(label_col) if label_col else F.lit(None)).cast("int").alias("label"))
+def _features(docs: DataFrame, lexicons: list[Lexicon], text_col: str, fold_col: str | None = None) -> DataFrame:
+    """`docs` with the column `__features`, from the lexicon of each row's fold, or the only one."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)  # bounded by `max_terms`
+    names = docs.columns
+    at_text, at_fold = names.index(text_col), names.index(fold_col) if fold_col else None
 
     def run(batches):
         lex = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                found = [lex.features(t, y) for t, y in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "label", "f"])
+                texts = part.column(at_text).to_pylist()
+                folds = part.column(at_fold).to_pylist() if at_fold is not None else [0] * len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([lex[k].features(t) for t, k in zip(texts, folds)], pa.list_(pa.float64()))], names=[*names, "__features"])
 
-    return rows.mapInArrow(run, "doc_id long, label int, f array<double>").select("doc_id", "label", array_to_vector("f").alias("features"))
+    return docs.mapInArrow(run, plus(docs.schema, __features=T.ArrayType(T.DoubleType()))).withColumn("__features", array_to_vector("__features"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 8000, max_terms: int = 200_000, id_col: str = "doc_id", text_col: str = "text", trees: int = 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 8000, max_terms: int = 50_000, id_col: str = "doc_id", text_col: str = "text", trees: int = 20) -> Model:
     """A model from at most `rows` labelled rows; four fifths fit the trees, the rest the calibration.
 
     Without both labels the model answers with the share of ones (0 if there are no rows).
     """
-    sample = write_table(bounded_sample(docs, labels, label_col, rows, id_col, text_col), "toxic")
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    sample = write_table(bounded_sample(docs, labels, label_col, rows, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")), "toxic")
+    sizes = {r.fold: (r.k, r.t) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("t")).collect()}
+    n, toxic = (sum(x[i] for x in sizes.values()) for i in (0, 1))
     if not toxic or toxic == n:
         return Model(toxic / n if n else 0.0)
-    terms = sample.select("text", "label").mapInArrow(_terms, "term string, label int").groupBy("term").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("k"))
+    counts = sample.select("text", "label", "fold").mapInArrow(_terms, "term string, label int, fold int").groupBy("term", "fold").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("k"))
+    terms = counts.groupBy("term").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.collect_list(F.struct("fold", "t", "k")).alias("by_fold"))
     lift = F.abs(F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("k") - F.col("t") + 0.5) / (n - toxic + 1)))
     kept = terms.where("k >= 3").where(lift >= 0.5).orderBy(F.desc(lift * F.log1p("k")), "term").limit(max_terms).collect()
     lexicon = Lexicon({r.term: (r.t, r.k - r.t) for r in kept}, toxic, n - toxic)
-    data = write_table(_features(sample, lexicon, "id", "text", "label").coalesce(8).withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).withColumn("y", F.col("label").cast("double")), "features")
+    apart = []
+    for fold in range(FOLDS):
+        out = {r.term: next(((x.t, x.k - x.t) for x in r.by_fold if x.fold == fold), (0, 0)) for r in kept}
+        k, t = sizes.get(fold, (0, 0))
+        apart.append(Lexicon({w: (a - out[w][0], b - out[w][1]) for w, (a, b) in lexicon.counts.items()}, toxic - t, n - toxic - (k - t)))
+    data = _features(sample, apart, "text", "fold").select("id", "label", "__features").coalesce(8)
+    data = write_table(data.withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).withColumn("y", F.col("label").cast("double")), "features")
     fit = data.where("not held")
-    model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(fit)
+    model = GBTClassifier(featuresCol="__features", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(fit)
     held = model.transform(data.where("held")).select("y", vector_to_array("probability")[1].alias("p"))
     if held.agg(F.countDistinct("y")).first()[0] < 2:
         held = model.transform(data).select("y", vector_to_array("probability")[1].alias("p"))
     return Model(toxic / n, lexicon, model, IsotonicRegression(featuresCol="p", labelCol="y").fit(held))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of each whole text; null and empty texts are scored as texts without words."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a column `out` (0 to 1) for each whole text; a column of that name is replaced.
+
+    Null and empty texts are scored as texts without words. Rows and other columns stay.
+    """
+    docs = docs.drop(out)
     if model.trees is None:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(float(model.prior)).alias("score"))
-    made = model.trees.transform(_features(docs, model.lexicon, id_col, text_col, None)).select("doc_id", vector_to_array("probability")[1].alias("p"))
-    out = model.calibration.transform(made)
-    return out.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("score"))
+        return docs.withColumn(out, F.lit(float(model.prior)))
+    trees = model.trees.copy().setRawPredictionCol("__raw").setProbabilityCol("__p").setPredictionCol("__class")
+    made = trees.transform(_features(docs, [model.lexicon], text_col)).withColumn("__p1", vector_to_array("__p")[1])
+    made = model.calibration.copy().setFeaturesCol("__p1").setPredictionCol("__fit").transform(made)
+    return made.select(*docs.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__fit")).alias(out))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score (0 to 1) of each whole text, as `with_score` gives it."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_score(slim, model).select("doc_id", "score")

@@ -79,7 +79,8 @@ KEEP = ["district", "specialties", "equipment", "procedure", "capability", "note
 
 def _clean() -> str:
     cells = ", ".join(f"{flat(c)} AS {c}" if c in vocab.LISTS else c for c in KEEP)
-    return rf"SELECT hospital_id, hospital_name, state, {strip('''regexp_replace(pin_code, '\.0$', '')''')} AS pin_code, {cells}, latitude, longitude FROM raw"
+    pin = strip(r"regexp_replace(pin_code, '\.0$', '')")
+    return f"SELECT hospital_id, hospital_name, state, {pin} AS pin_code, {cells}, latitude, longitude FROM raw"
 
 
 def _tagged() -> str:

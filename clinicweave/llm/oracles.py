@@ -1,3 +1,34 @@
 """DuckDB SQL for the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP4 = """WITH RECURSIVE l0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l1 AS (SELECT doc_id, unnest(range(len(ls))) AS nr, unnest(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM l0 WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, nr, line, length(line) AS n FROM l1 WHERE length(line) >= 16),
+f AS (SELECT line, n, min({'d': doc_id, 'a': nr}) AS pos FROM ln GROUP BY line, n),
+k AS (SELECT line, n, pos, m, m // 2 AS p FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)),
+h AS (SELECT line, n, pos, m, 0 AS side, substr(line, 1, p) AS part FROM k UNION ALL SELECT line, n, pos, m, 1, substr(line, n - (m - p) + 1) FROM k),
+c AS (SELECT DISTINCT a.line AS a, a.n AS na, b.line AS b, b.n AS nb FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.pos < a.pos AND a.line <> b.line),
+near AS (SELECT DISTINCT a AS line FROM c WHERE CASE
+ WHEN na = nb THEN len(list_filter(range(1, na + 1), lambda i: substr(a, 1, i - 1) = substr(b, 1, i - 1) AND substr(a, i + 1) = substr(b, i + 1))) > 0
+ WHEN na = nb + 1 THEN len(list_filter(range(1, na + 1), lambda i: substr(a, 1, i - 1) || substr(a, i + 1) = b)) > 0
+ WHEN nb = na + 1 THEN len(list_filter(range(1, nb + 1), lambda i: substr(b, 1, i - 1) || substr(b, i + 1) = a)) > 0 ELSE false END),
+gone AS (SELECT doc_id, nr FROM ln JOIN f USING (line) WHERE {'d': doc_id, 'a': nr} <> f.pos UNION SELECT doc_id, nr FROM ln WHERE line IN (SELECT line FROM near)),
+g AS (SELECT doc_id, list(nr) AS nrs FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(nrs), 0) AS BIGINT) AS n_removed,
+ CASE WHEN nrs IS NULL THEN text ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(nrs, i - 1)), chr(10)), '') END AS text FROM l0 LEFT JOIN g USING (doc_id)"""
+
+OP6 = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM m"""
+
+OP7 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w),
+r AS (SELECT sh, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
+e AS (SELECT rep, len(sh) AS n, unnest(sh) AS g FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT rep AS v, rep AS c FROM r UNION SELECT links.b, reach.c FROM reach JOIN links ON reach.v = links.a),
+home AS (SELECT v, min(c) AS c FROM reach GROUP BY v), t AS (SELECT doc_id, len(sh) AS n, list_sort(sh) AS sh FROM s)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_shingles, coalesce(home.c, t.doc_id) AS component_id FROM t LEFT JOIN r ON t.n > 0 AND r.sh = t.sh LEFT JOIN home ON home.v = r.rep"""
+
+ORACLES = {"op4_line_dedup": OP4, "op6_warc": OP6, "op7_ngram_jaccard": OP7}

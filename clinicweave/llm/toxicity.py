@@ -8,6 +8,7 @@ their features from lexicons counted without their own fold, so that trees see w
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -78,14 +79,25 @@ class Lexicon:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("cache", "rows", "table")} | {"cache": {}, "rows": [], "table": None}
 
+    def weight(self, w: str) -> float:
+        """The largest log odds among a word's keys that enough rows use; 0 without any."""
+        best = None
+        for key in entries(w):
+            t, c = self.counts.get(key, (0, 0))
+            if t + c >= self.least:
+                odds = math.log((t + 0.5) / (self.toxic + 1)) - math.log((c + 0.5) / (self.clean + 1))
+                best = odds if best is None else max(best, odds)
+        return best or 0.0
+
     def _know(self, chunk: str) -> int:
-        w = word(chunk)
-        odd = bool(_MIXED.search(chunk))
-        keys = entries(w)
-        hidden = entries(plain(chunk)) if odd else []
-        look = lambda ks, i: [self.counts.get(k, (0, 0))[i] for k in ks] + [0] * (3 - len(ks))
         at = self.cache[chunk] = len(self.rows)
-        self.rows.append((*look(keys, 0), *look(keys, 1), *look(hidden, 0), *look(hidden, 1), w in SECOND, odd))
+        if chunk.isalpha():
+            w = chunk.lower()
+            self.rows.append((self.weight(w), 0.0, w in SECOND, False))
+        else:
+            w = word(chunk)
+            odd = not w.isalpha() and bool(_MIXED.search(chunk))
+            self.rows.append((self.weight(w), self.weight(plain(chunk)) if odd else 0.0, w in SECOND, odd))
         return at
 
     def features(self, text: str | None) -> list[float]:
@@ -106,14 +118,8 @@ class Lexicon:
             new = np.array(self.rows[0 if self.table is None else len(self.table) :], np.float32)
             self.table = new if self.table is None else self._grown(new)
         t = self.table[ids]
-
-        def weight(a: int) -> np.ndarray:
-            x, c = t[:, a : a + 3], t[:, a + 3 : a + 6]
-            w = np.log((x + 0.5) / (self.toxic + 1)) - np.log((c + 0.5) / (self.clean + 1))
-            return np.where(x + c >= self.least, w, 0).max(axis=1)
-
-        w, second, odd = weight(0), t[:, 12] > 0, t[:, 13] > 0
-        hidden = (weight(6)[odd] >= self.strong).sum() if odd.any() else 0
+        w, second, odd = t[:, 0], t[:, 2] > 0, t[:, 3] > 0
+        hidden = (t[:, 1] >= self.strong).sum()
         hit = w >= self.strong
         near = 0.0
         if hit.any() and second.any():

@@ -31,4 +31,8 @@ links AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT rep AS
 home AS (SELECT v, min(c) AS c FROM reach GROUP BY v), t AS (SELECT doc_id, len(sh) AS n, list_sort(sh) AS sh FROM s)
 SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_shingles, coalesce(home.c, t.doc_id) AS component_id FROM t LEFT JOIN r ON t.n > 0 AND r.sh = t.sh LEFT JOIN home ON home.v = r.rep"""
 
-ORACLES = {"op4_line_dedup": OP4, "op6_warc": OP6, "op7_ngram_jaccard": OP7}
+OP8 = """WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.v, b.v) AS score FROM x a, x b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+ORACLES = {"op4_line_dedup": OP4, "op6_warc": OP6, "op7_ngram_jaccard": OP7, "op8_ann": OP8}

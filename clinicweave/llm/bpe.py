@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -218,6 +219,12 @@ class Bpe:
         return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@lru_cache(maxsize=2)
+def loaded(path: str) -> Bpe:
+    """The vocabulary and its cache, kept by a worker from task to task."""
+    return Bpe(path)
+
+
 def gathered(batches, chars: int = 32_000_000):
     """Arrow batches of (id, text), put together until they hold about `chars` bytes of text.
 
@@ -247,7 +254,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """doc_id, ids (array of int) of every whole text; null and empty texts give empty arrays."""
 
     def run(batches):
-        for names, texts in encoded(batches, Bpe(path)):
+        for names, texts in encoded(batches, loaded(path)):
             yield pa.RecordBatch.from_arrays([names, pa.array([np.frombuffer(x, "<i4") for x in texts], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -261,7 +268,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches):
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for names, ids in encoded(batches, bpe):
             digests = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
             yield pa.RecordBatch.from_arrays([names, pa.array([len(x) // 4 for x in ids], pa.int64()), *map(lambda x: pa.array(x, pa.string()), digests)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

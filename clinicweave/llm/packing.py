@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, encoded
+from .bpe import encoded, loaded
 from .common import write_table
 
 WINDOW, END_ID, SHARD = 2048, 1, 20_000
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
 
     def run(batches):
         end = end_id.to_bytes(4, "little")
-        for names, texts in encoded(batches, Bpe(path)):
+        for names, texts in encoded(batches, loaded(path)):
             rows = []
             for name, ids in zip(names.to_pylist(), texts):
                 ids += end

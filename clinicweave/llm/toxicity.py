@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
         return Model(toxic / n if n else 0.0)
     counts = sample.select("text", "label", "fold").mapInArrow(_terms, "term string, label int, fold int").groupBy("term", "fold").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("k"))
     terms = counts.groupBy("term").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.collect_list(F.struct("fold", "t", "k")).alias("by_fold"))
-    lift = F.abs(F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("k") - F.col("t") + 0.5) / (n - toxic + 1)))
+    lift = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("k") - F.col("t") + 0.5) / (n - toxic + 1))
     kept = terms.where("k >= 3").where(lift >= 0.5).orderBy(F.desc(lift * F.log1p("k")), "term").limit(max_terms).collect()
     lexicon = Lexicon({r.term: (r.t, r.k - r.t) for r in kept}, toxic, n - toxic)
     apart = []

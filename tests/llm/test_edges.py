@@ -200,7 +200,8 @@ def test_jaccard_brute_force(spark, docs):
 @given(st.lists(st.lists(st.integers(0, 25), unique=True).map(sorted), max_size=8), st.integers(1, 6))
 def test_divide_skip(lists, need):
     counts = Counter(x for y in lists for x in y)
-    assert ngram_join.divide_skip(lists, need) == sorted(k for k, v in counts.items() if v >= need)
+    for many in (0, 1024):
+        assert ngram_join.divide_skip(lists, need, many) == sorted(k for k, v in counts.items() if v >= need)
 
 
 def test_warc(spark):

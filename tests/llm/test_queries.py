@@ -4,6 +4,7 @@ import os
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 from clinicweave.llm.oracles import ORACLES
@@ -20,7 +21,7 @@ def test_same_rows(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
-    plain = lambda df: sorted((tuple(None if x != x or x is None else x for x in r) for r in df[columns].astype(object).values.tolist()), key=repr)
+    plain = lambda df: sorted((tuple(None if pd.isna(x) else x for x in r) for r in df[columns].astype(object).values.tolist()), key=repr)
     assert columns == sorted(want.columns) and plain(got) == plain(want)
 
 

@@ -85,11 +85,14 @@ class Classifier:
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 p[labels[k]] -= 1
-                p *= rate * (1 - done / (steps + 1)) * cost[k]
+                lift = part * len(at) ** 0.5
+                bend = float(hidden @ hidden) + float(part @ lift) * float((out * out).sum())
+                pace = rate * (1 - done / (steps + 1)) * cost[k]
+                p *= pace / max(1.0, pace * bend)  # a step never overshoots its own loss
                 step = out.T @ p
                 out -= np.outer(p, hidden)
                 bias -= 0.05 * p
-                vectors[at] -= np.outer(part * len(at) ** 0.5, step)
+                vectors[at] -= np.outer(lift, step)
         self.weights = vectors @ (out[1] - out[0])
         self.bias = float(bias[1] - bias[0])
         return self

@@ -278,6 +278,19 @@ def _labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_quality_training_stays_finite():
+    # one word holds most of a text of many different words, and its copies disagree on the label
+    texts = [f"{'spam ' * 4000}{' '.join(f'w{i}' for i in range(1500))}", f"{'spam ' * 3000}{' '.join(f'v{i}' for i in range(1500))}", "ab"] * 20
+    labels = np.array([0, 1, 1] * 20)
+    labels[::5] = 1 - labels[::5]
+    docs = []
+    for t in texts:
+        found, counts = np.unique(quality.buckets(t.encode()), return_counts=True)
+        docs.append((found, (counts / counts.sum()).astype(np.float32)))
+    model = quality.Classifier().fit(docs, labels)
+    assert np.isfinite(model.weights).all() and 0 <= model.score(texts[0]) < model.score(texts[2]) <= 1
+
+
 def test_quality(spark, docs):
     texts, labels = _labelled(spark)
     model = quality.train(texts, labels.where("doc_id < 180"))

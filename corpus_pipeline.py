@@ -17,6 +17,7 @@ from clinicweave.llm.common import read, small, write_table
 from clinicweave.llm.queries import TOKENIZER, learnable
 
 LOW_QUALITY, TOXIC = 0.5, 0.7
+NEAR = {"num": 80, "den": 100, "words": 5}  # near copies share 80 % of their five-word shingles; op7's query has its own rule
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; texts without words all stay."""
-    found = write_table(ngram_join.jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")), "copies")
+    found = write_table(ngram_join.jaccard_components(docs, **NEAR).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")), "copies")
     return docs.join(small(found, found.count()), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 

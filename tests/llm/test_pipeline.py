@@ -91,3 +91,13 @@ def test_packing_covers_every_id(stages):
             at += r.length
         assert at == len(ids)
     assert (pieces.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_near_copies_by_the_rule_of_the_stage(spark):
+    words = [f"w{k}" for k in range(300)]
+    scattered = ["x" if k in (20, 70, 120, 170, 220, 270) else w for k, w in enumerate(words)]
+    longer = [f"v{k}" for k in range(300)]
+    far = ["y" if k % 10 == 5 else w for k, w in enumerate(f"u{k}" for k in range(300))]
+    rows = [words, scattered, longer, longer + [f"t{k}" for k in range(45)], [f"u{k}" for k in range(300)], far]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()} == {0, 2, 4, 5}

@@ -68,6 +68,13 @@ def explanation() -> Column:
     return F.concat(F.array_join(F.array_compact(F.array(why, where, trust, F.when(F.col("sort") == "distance", "ranked for urgency / proximity"))), ". "), F.lit("."))
 
 
+def semantic_scores(queries: DataFrame, facilities: DataFrame, encoder: vectors.SvdEncoder, k: int = 200) -> DataFrame:
+    """(query_id, hospital_id, semantic): each query's k nearest of all facilities by encoded text."""
+    asked = encoder.encode(queries, "query_id", "raw_query").withColumnRenamed("id", "query")
+    found = vectors.vector_topk(asked, encoder.encode(facilities, "hospital_id", "search_text"), k)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("semantic"))
+
+
 def hybrid_search(queries: DataFrame, facilities: DataFrame, pins: DataFrame, k: int = 10, semantic: DataFrame | None = None) -> DataFrame:
     """The best k facilities of each parsed query, with signals and an explanation.
 

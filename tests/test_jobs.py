@@ -1,11 +1,18 @@
 import math
+import os
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clinicweave.functions import vocab
+from clinicweave.jobs import registry
 from clinicweave.operators import extraction, geo, queries, scoring, search, stats, vectors
 from clinicweave.sources import tables
 
+SF = "/root/testdata/sf0.001"
 BASE = {"specialties": "", "equipment": "", "procedure": "", "capability": "", "notes": "", "staff": "", "state": "Bihar", "district": "Patna", "pin_code": "800001", "facility_type": "Hospital", "hospital_name": "H"}
 
 
@@ -110,3 +117,48 @@ def test_parse_extraction_keeps_failures_apart(spark):
 
 def test_state_deserts_of_nothing(spark):
     assert stats.state_deserts(scoring.score(scoring.tag_facilities(facility(spark).where(F.lit(False))))).count() == 0
+
+
+def _semantic_by_brute_force(asked, texts, k, dim):
+    words = lambda t: [w for w in re.findall(r"[a-z0-9_]{2,}", (t or "").lower()) if w not in vocab.ENGLISH]
+    terms = lambda t: Counter((w := words(t)) + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    rows = {i: terms(t) for i, t in texts.items()}
+    df = Counter(t for r in rows.values() for t in r)
+    at = {t: n for n, t in enumerate(sorted(t for t in df if df[t] >= 2))}
+
+    def vec(counts):
+        x = np.zeros(len(at))
+        for t, tf in counts.items():
+            if t in at:
+                x[at[t]] = (1 + math.log(tf)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1)
+        return x / (np.linalg.norm(x) or 1)
+
+    ids = sorted(rows)
+    a = np.array([vec(rows[i]) for i in ids])
+    v = np.linalg.svd(a)[2][:dim].T
+    unit = lambda y: y / (n if (n := np.linalg.norm(y)) >= 1e-9 else 1)
+    e = [unit(x @ v) for x in a]
+    out = {}
+    for q, t in asked.items():
+        s = [(-round(float(unit(vec(terms(t)) @ v) @ y), 9), i) for i, y in zip(ids, e)]
+        out |= {(q, i): -x for x, i in sorted(s)[:k]}
+    return out
+
+
+def test_semantic_scores_equal_brute_force(spark, tmp_path):
+    texts = {1: "ICU beds and oxygen supply", 2: "icu oxygen supply ward", 3: "dental care clinic", 4: "dental clinic braces care", 5: "eye care clinic", 6: "icu beds ventilator oxygen", 7: None, 8: "zzz", 9: "eye surgery ward"}
+    asked = {0: "oxygen and ICU beds", 1: "dental clinic", 2: "", 3: "the unknown"}
+    facilities = spark.createDataFrame(list(texts.items()), "hospital_id long, search_text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id int, raw_query string")
+    encoder = vectors.SvdEncoder.learn(facilities, "hospital_id", "search_text", k=4)
+    encoder.save(str(tmp_path / "e.npz"))
+    got = {(r.query_id, r.hospital_id): r.semantic for r in search.semantic_scores(queries, facilities, vectors.SvdEncoder.load(str(tmp_path / "e.npz")), 5).collect()}
+    want = _semantic_by_brute_force(asked, texts, 5, 4)
+    assert len(got) == 20 and all(abs(got[p] - want[p]) < 1e-6 for p in got if p[0] < 2) and {p for p in got if p[0] < 2} == {p for p in want if p[0] < 2}
+    assert all(x == 0 for p, x in got.items() if p[0] >= 2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_registered_search_has_a_semantic_signal(spark):
+    found = registry.hybrid_search(spark, SF).toPandas()
+    assert set(found[found.semantic > 0].query_id) >= {0, 1, 3, 4, 5, 6, 7, 8}  # no text holds a word of query 2

@@ -228,9 +228,9 @@ def tfidf_features(spark, sf_dir):
 
 
 def svd_embed(spark, sf_dir):
-    """Documents in 16 dimensions of a truncated SVD; axes are unique up to sign only."""
-    features = vectors.tfidf(_read(spark, sf_dir, "documents"), "doc_id", "text", top=2000)
-    return vectors.SvdEncoder.fit(features, 16).transform(features)
+    """Every document in up to 384 dimensions of a truncated SVD; axes are unique up to sign only."""
+    docs = _read(spark, sf_dir, "documents")
+    return vectors.SvdEncoder.learn(docs, "doc_id", "text").encode(docs, "doc_id", "text")
 
 
 QUERIES = {

@@ -162,3 +162,12 @@ def test_semantic_scores_equal_brute_force(spark, tmp_path):
 def test_registered_search_has_a_semantic_signal(spark):
     found = registry.hybrid_search(spark, SF).toPandas()
     assert set(found[found.semantic > 0].query_id) >= {0, 1, 3, 4, 5, 6, 7, 8}  # no text holds a word of query 2
+
+
+def test_registered_embedding_covers_all_documents(spark, tmp_path):
+    rows = [(k, f"alpha{k % 30} beta{k % 30} gamma{k % 7} the and") for k in range(60)] + [(100, None), (101, ""), (102, "unseen"), (103, "the and of")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: r.vec for r in registry.svd_embed(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _ in rows} and len(got[0]) > 16
+    assert all(abs(math.hypot(*got[k]) - 1) < 1e-6 for k in range(60))
+    assert not any(x for k in (100, 101, 102, 103) for x in got[k])

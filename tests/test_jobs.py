@@ -171,3 +171,15 @@ def test_registered_embedding_covers_all_documents(spark, tmp_path):
     assert set(got) == {k for k, _ in rows} and len(got[0]) > 16
     assert all(abs(math.hypot(*got[k]) - 1) < 1e-6 for k in range(60))
     assert not any(x for k in (100, 101, 102, 103) for x in got[k])
+
+
+def test_vector_topk_in_blocks_equals_brute_force(spark):
+    x = np.random.default_rng(1).integers(-3, 4, (90, 4)).astype(float)
+    vecs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in vectors.vector_topk(vecs.where("id % 3 = 0").withColumnRenamed("id", "query"), vecs, 5, query_block=7, row_block=20).collect():
+        got.setdefault(r.query, []).append((r.rank, r.id, r.score))
+    s = x @ x.T
+    want = {q: [(n + 1, int(i), float(s[q, i])) for n, i in enumerate(np.lexsort((np.arange(90), -s[q]))[:5])] for q in range(0, 90, 3)}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert vectors.vector_topk(vecs.where("false").withColumnRenamed("id", "query"), vecs).count() == 0

@@ -323,3 +323,13 @@ def test_iso_sizes(n):
     assert media.payload(data, media.tables(data)) == payload and len(payload) % 64 == 0 and len(payload) > 0
 
 
+
+
+def test_language_skips_only_the_text_that_does_not_fit(spark):
+    rng = random.Random(8)
+    parts = {"en": ["the ", "and ", "ing ", "tion "], "fr": ["le ", "eaux ", "ment ", "que "]}
+    ids = [r.id for r in spark.range(80).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
+    rows = [(i, "".join(rng.choice(parts[lang]) for _ in range(9000 if n < 2 else 40)), lang) for n, i in enumerate(ids) for lang in [list(parts)[n % 2]]]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_lang=20, held_per_lang=20, max_chars=20_000)
+    assert models.predict(["the and " * 9, "le que " * 9])[0] == ["en", "fr"]
+    assert models.margin > 0 and np.isfinite(models.worst)  # set by the rows for calibration

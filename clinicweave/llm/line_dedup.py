@@ -101,7 +101,9 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     chosen = half.join(small(common, n), "key", "left_semi").groupBy("h1").agg(F.min(F.struct("doc", "at")).alias("first"))
     chosen = write_table(chosen.select("h1", "first.doc", "first.at"), "chosen")
     n = chosen.count()
-    kept = write_table(lines.select("doc", "at", "h1", "line").join(small(chosen, n), ["doc", "at", "h1"], "left_semi").dropDuplicates(["h1"]), "lines")
+    pick = chosen.select(F.col("doc").alias("__doc"), F.col("at").alias("__at"), F.col("h1").alias("__h1"))
+    same = F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("at") == F.col("__at")) & (F.col("h1") == F.col("__h1"))  # rows without an id are the earliest
+    kept = write_table(lines.select("doc", "at", "h1", "line").join(small(pick, n), same, "left_semi").dropDuplicates(["h1"]), "lines")
     keys = kept.repartition("h1").select("h1", "line").mapInArrow(_emit, "key long, kind byte, h1 long")
     met = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("k > 1 and not (lo = 1 and hi = 1)").select("key"), "met")
     n = met.count()

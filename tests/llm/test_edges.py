@@ -325,6 +325,12 @@ def test_iso_sizes(n):
 
 
 
+def test_line_dedup_near_copy_of_a_row_without_id(spark):
+    rows = [(None, "the quick brown fox jumps"), (1, "the quick brown fox jumpz"), (2, "another line that is kept")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: "the quick brown fox jumps", 1: "", 2: "another line that is kept"}
+
+
 def test_language_skips_only_the_text_that_does_not_fit(spark):
     rng = random.Random(8)
     parts = {"en": ["the ", "and ", "ing ", "tion "], "fr": ["le ", "eaux ", "ment ", "que "]}

@@ -8,6 +8,7 @@ bounded size and go through Spark's own writer, so a lost task leaves no half ar
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 
 import pyarrow as pa
@@ -71,12 +72,21 @@ def records(data: bytes):
 
 
 def parse(text: bytes) -> dict:
-    """Headers of a record, the payload's stated size and the payload itself."""
+    """Headers of a record, the payload's size and digest, and the payload itself.
+
+    A response's size and digest are those of the payload read, which must equal the stated ones; a
+    revisit has no payload and gives what it states.
+    """
     head, _, rest = text.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    return fields | {"size": size, "payload": payload}
+    sha1 = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
+    if fields["WARC-Type"] == "response":
+        stated, size, sha1 = (size, sha1), len(payload), hashlib.sha1(payload).hexdigest()
+        if (size, sha1) != stated:
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not the one that its headers state")
+    return fields | {"size": size, "sha1": sha1, "payload": payload}
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, archive_bytes: int = 16_000_000) -> DataFrame:
@@ -121,7 +131,7 @@ def read_archives(archives: DataFrame, archive_col: str = "archive") -> DataFram
                     f = parse(text)
                     number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
                     kind = f["WARC-Type"]
-                    rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["size"], base64.b32decode(f["WARC-Payload-Digest"][5:]).hex(), kind, number(f.get("WARC-Refers-To")), f["payload"].decode("utf-8", "replace") if kind == "response" else None))
+                    rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["size"], f["sha1"], kind, number(f.get("WARC-Refers-To")), f["payload"].decode("utf-8", "replace") if kind == "response" else None))
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []

@@ -331,6 +331,15 @@ def test_line_dedup_near_copy_of_a_row_without_id(spark):
     assert got == {None: "the quick brown fox jumps", 1: "", 2: "another line that is kept"}
 
 
+def test_warc_checks_payloads():
+    good = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    f = warc.parse(good)
+    assert (f["size"], f["sha1"]) == (7, hashlib.sha1(b"payload").hexdigest())
+    for bad in (good.replace(b"\r\n\r\npayload", b"\r\n\r\npaylOad"), warc.record(1, "u", b"payload", hashlib.sha1(b"other").hexdigest(), None)):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
 def test_language_skips_only_the_text_that_does_not_fit(spark):
     rng = random.Random(8)
     parts = {"en": ["the ", "and ", "ing ", "tion "], "fr": ["le ", "eaux ", "ment ", "que "]}

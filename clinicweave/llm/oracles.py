@@ -4,9 +4,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP4 = """WITH RECURSIVE l0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l1 AS (SELECT doc_id, unnest(range(len(ls))) AS nr, unnest(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)))) AS line FROM l0 WHERE text IS NOT NULL),
-ln AS (SELECT doc_id, nr, line, length(line) AS n FROM l1 WHERE length(line) >= 16),
+ln AS (SELECT doc_id, nr, line, length(line) AS n FROM l1 WHERE length(line) > 0),
 f AS (SELECT line, n, min({'d': doc_id, 'a': nr}) AS pos FROM ln GROUP BY line, n),
-k AS (SELECT line, n, pos, m, m // 2 AS p FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)),
+k AS (SELECT line, n, pos, m, m // 2 AS p FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 16)),
 h AS (SELECT line, n, pos, m, 0 AS side, substr(line, 1, p) AS part FROM k UNION ALL SELECT line, n, pos, m, 1, substr(line, n - (m - p) + 1) FROM k),
 c AS (SELECT DISTINCT a.line AS a, a.n AS na, b.line AS b, b.n AS nb FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND b.pos < a.pos AND a.line <> b.line),
 near AS (SELECT DISTINCT a AS line FROM c WHERE CASE

@@ -10,18 +10,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus
+from .common import map_columns
 
 BUCKETS, DIM, SIZES = 1 << 17, 12, (3, 4)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def buckets(raw: bytes, count: int = BUCKETS) -> np.ndarray:
-    """Buckets of the words of a UTF-8 text, of the n-grams of their bytes, ends marked, and of repeats."""
+    """Buckets of the words of a UTF-8 text, of the n-grams of their bytes, ends marked, and of pairs of equal words.
+
+    All pairs of a word and itself share one bucket: they mark texts that repeat words, whichever.
+    """
     b = np.frombuffer(b" " + raw + b" ", np.uint8)
     space = (b == 32) | ((b >= 9) & (b <= 13))
     x = (np.where(space, 32, b).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -50,7 +53,7 @@ def buckets(raw: bytes, count: int = BUCKETS) -> np.ndarray:
         placed = mixed[e] - mixed[s] - (np.uint64(2) * s.astype(np.uint64)) * _sum(x, s, e)
         words = (plain ^ (placed * _K)) * _K
         out.append((words >> shift).astype(np.int64))
-        out.append(np.full(int((words[1:] == words[:-1]).sum()), count - 1))  # a word that follows itself
+        out.append(np.full(int((words[1:] == words[:-1]).sum()), count - 1))
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
@@ -106,26 +109,44 @@ class Classifier:
 
 
 def _features(batches):
-    for batch in batches:
-        at, part = [], []
-        for text in batch.column(0).to_pylist():
-            found, counts = np.unique(buckets((text or "").encode("utf-8", "replace")), return_counts=True)
-            at.append(found.astype(np.int32))
-            part.append((counts / max(1, counts.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(part, pa.list_(pa.float32())), batch.column(1).cast(pa.int32())], names=["at", "part", "label"])
-
-
-def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `rows` labelled texts, by a hash of the id: (id, text, label). Ids labelled twice count once."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return slim.join(F.broadcast(known), "__id").select(F.col("__id").alias("id"), "text", "label")
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """A classifier from at most `rows` labelled rows; without both classes, the share of ones (0.5 if none)."""
-    sample = bounded_sample(docs, labels, label_col, rows, id_col, text_col).orderBy("id")
+    """Distinct buckets of each labelled text and their shares."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 200):
+            batch = whole.slice(start, 200)
+            at, part = [], []
+            for text in batch.column(0).to_pylist():
+                found, counts = np.unique(buckets((text or "").encode("utf-8", "replace")), return_counts=True)
+                at.append(found.astype(np.int32))
+                part.append((counts / max(1, counts.sum())).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(part, pa.list_(pa.float32())), batch.column(1).cast(pa.int32())], names=["at", "part", "label"])
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most `rows` labelled texts of at most `chars` characters together: (id, text, label), by a hash of the id.
+
+    An id that is labelled twice counts once, with the larger label; of rows that repeat an id, the
+    one with the smallest hash of its text is taken. Ids are taken in order of their hash; texts longer
+    than four times an even share of `chars` are left out, as are the last ones once `chars` are spent.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    place = [F.xxhash64("id"), F.col("id")]
+    chosen = known.orderBy(*place).limit(rows)
+    sizes = slim.select("id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n")).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("h").alias("h"), F.min_by("n", "h").alias("n"))
+    fitting = sizes.where(F.col("n") <= max(1, 4 * chars // rows))
+    spent = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)  # `rows` rows of numbers at most
+    kept = fitting.withColumn("spent", F.sum("n").over(spent)).where(F.col("spent") <= chars).select("id", "label", "h")
+    return slim.withColumn("h", F.xxhash64("text")).join(F.broadcast(kept), ["id", "h"]).groupBy("id", "label").agg(F.first("text").alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = 4000, chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+    """A classifier from at most `rows` labelled texts of `chars` characters in all, as `bounded_sample` takes them.
+
+    Without both classes it answers with the share of ones (0.5 if there are none); null and empty
+    texts count as texts without words. The driver gets one number pair for each distinct bucket of
+    a text, so `chars` bounds what it holds.
+    """
+    sample = bounded_sample(docs, labels, label_col, rows, chars, id_col, text_col).orderBy("id")
     got = sample.select("text", "label").mapInArrow(_features, "at array<int>, part array<float>, label int").toArrow()
     label = got.column("label").to_numpy()
     prior = float(label.mean()) if len(label) else 0.5
@@ -138,20 +159,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
 def with_score(docs: DataFrame, model: Classifier, text_col: str = "text", out: str = "score") -> DataFrame:
     """`docs` with a column `out` (0 to 1) for each whole text; a column of that name is replaced.
 
-    Null, empty and blank texts get the training share. Rows and other columns stay as they are.
+    Null, empty and blank texts get the training share. Equal texts have equal scores; rows that
+    repeat and other columns stay as they are, whatever their names. Empty tables stay empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** 17 numbers at most
     docs = docs.drop(out)
-    names, at_text = docs.columns, docs.columns.index(text_col)
+    at_text = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.score(t) for t in part.column(at_text).to_pylist()], pa.float64())], names=[*names, out])
+                yield [*part.columns, pa.array([m.score(t) for t in part.column(at_text).to_pylist()], pa.float64())]
 
-    return docs.mapInArrow(run, plus(docs.schema, **{out: T.DoubleType()}))
+    return map_columns(docs, run, (out, T.DoubleType()))
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

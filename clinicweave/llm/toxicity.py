@@ -8,11 +8,6 @@ their features from lexicons counted without their own fold, so that trees see w
 
 from __future__ import annotations
 
-import math
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -20,130 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, write_table
+from .common import drop_table, free, map_columns, write_table
+from .lexicon import Lexicon, featured, terms
 from .quality import bounded_sample
 
-# Second-person words of English, German, French, Spanish, Italian and Portuguese.
-SECOND = frozenset("you your yours yourself ya u du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros voi você vocês seu sua".split())
-# Characters that stand for letters in obfuscated spellings.
-LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
-
-_MIXED = re.compile(r"[^\W\d_][\d@$!|*#.\-_]+[^\W\d_]")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_SIGNS = np.zeros(256, bool)
-_SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-FEATURES = ["size", "peak", "mass", "density", "hits", "second_near", "second", "capitals", "signs", "exclaims", "obfuscated", "hidden_hits"]
-NEAR, FOLDS = 6, 5
-
-
-def word(chunk: str) -> str:
-    return _EDGES.sub("", chunk).lower()
-
-
-def plain(chunk: str) -> str:
-    """An obfuscated spelling in plain letters, runs of one letter cut to two."""
-    w = re.sub(r"[^\w]|_", "", chunk.lower().translate(LOOKALIKES))
-    return re.sub(r"(.)\1{2,}", r"\1\1", w)
-
-
-def entries(w: str) -> list[str]:
-    """The lexicon's keys of a word: itself and its stems."""
-    return [w, *(w[:k] + "*" for k in (4, 5) if len(w) >= k)] if len(w) >= 3 else []
-
-
-def _terms(batches):
-    """Distinct keys of each labelled text."""
-    for batch in batches:
-        keys, labels, folds = [], [], []
-        for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
-            found = {k for w in {word(c) for c in set((text or "").split())} for k in entries(w)}
-            keys += found
-            labels += [label] * len(found)
-            folds += [fold] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(labels, pa.int32()), pa.array(folds, pa.int32())], names=["term", "label", "fold"])
-
-
-class Lexicon:
-    """Counts of toxic and other rows by key; weights are log odds."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int, least: int = 3, strong: float = 1.5):
-        self.counts, self.toxic, self.clean, self.least, self.strong = counts, toxic, clean, least, strong
-        self.cache: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.cache.clear()
-        self.rows: list[tuple] = []
-        self.table = None
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "rows", "table")} | {"cache": {}, "rows": [], "table": None}
-
-    def weight(self, w: str) -> float:
-        """The largest log odds among a word's keys that enough rows use; 0 without any."""
-        best = None
-        for key in entries(w):
-            t, c = self.counts.get(key, (0, 0))
-            if t + c >= self.least:
-                odds = math.log((t + 0.5) / (self.toxic + 1)) - math.log((c + 0.5) / (self.clean + 1))
-                best = odds if best is None else max(best, odds)
-        return best or 0.0
-
-    def _know(self, chunk: str) -> int:
-        at = self.cache[chunk] = len(self.rows)
-        if chunk.isalpha():
-            w = chunk.lower()
-            self.rows.append((self.weight(w), 0.0, w in SECOND, False))
-        else:
-            w = word(chunk)
-            odd = not w.isalpha() and bool(_MIXED.search(chunk))
-            self.rows.append((self.weight(w), self.weight(plain(chunk)) if odd else 0.0, w in SECOND, odd))
-        return at
-
-    def features(self, text: str | None) -> list[float]:
-        """Features of a text, in the order of FEATURES."""
-        text = text or ""
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        chunks = text.split()
-        n = len(chunks)
-        if not n:
-            return [0.0] * len(FEATURES)
-        if len(self.rows) > 300_000:
-            self._clear()
-        get, known = self.cache.get, len(self.rows)
-        ids = [get(c) for c in chunks]
-        if None in ids:
-            ids = [self._know(c) if (i := get(c)) is None else i for c in chunks]
-        if self.table is None or known != len(self.rows):
-            new = np.array(self.rows[0 if self.table is None else len(self.table) :], np.float32)
-            self.table = new if self.table is None else self._grown(new)
-        t = self.table[ids]
-        w, second, odd = t[:, 0], t[:, 2] > 0, t[:, 3] > 0
-        hidden = (t[:, 1] >= self.strong).sum()
-        hit = w >= self.strong
-        near = 0.0
-        if hit.any() and second.any():
-            at, you = np.flatnonzero(hit), np.flatnonzero(second)
-            right = np.searchsorted(you, at)
-            gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - at), np.abs(at - you[np.maximum(right - 1, 0)]))
-            near = float((gap <= NEAR).mean())
-        counts = np.bincount(raw, minlength=256)
-        letters = counts[65:91].sum() + counts[97:123].sum() + counts[195:224].sum()
-        size = len(raw)
-        return [
-            float(np.log1p(n)), float(w.max()), float(np.maximum(w, 0).sum() / n), float(hit.sum() / n), float(np.log1p(hit.sum())), near, float(second.sum() / n),
-            float(counts[65:91].sum() / max(1, letters)), float(counts[_SIGNS].sum() / size), float(counts[33] / size), float(odd.sum() / n), float(np.log1p(hidden)),
-        ]
-
-    def _grown(self, new: np.ndarray) -> np.ndarray:
-        """The table with new rows; its buffer doubles, so that growing stays linear."""
-        n, m = len(self.table), len(new)
-        buffer = self.table.base if self.table.base is not None else self.table
-        if len(buffer) < n + m:
-            buffer = np.empty((2 * (n + m), new.shape[1]), np.float32)
-            buffer[:n] = self.table
-        buffer[n : n + m] = new
-        return buffer[: n + m]
+FOLDS = 5
 
 
 class Model:
@@ -153,66 +29,66 @@ class Model:
         self.prior, self.lexicon, self.trees, self.calibration = prior, lexicon, trees, calibration
 
 
-def _features(docs: DataFrame, lexicons: list[Lexicon], text_col: str, fold_col: str | None = None) -> DataFrame:
-    """`docs` with the column `__features`, from the lexicon of each row's fold, or the only one."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons)  # bounded by `max_terms`
+def _features(docs: DataFrame, shared, text_col: str, out: str, fold_col: str | None = None) -> DataFrame:
+    """`docs` with the vector `out`, from the lexicon of each row's fold, or the only one."""
     names = docs.columns
-    at_text, at_fold = names.index(text_col), names.index(fold_col) if fold_col else None
-
-    def run(batches):
-        lex = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = part.column(at_text).to_pylist()
-                folds = part.column(at_fold).to_pylist() if at_fold is not None else [0] * len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([lex[k].features(t) for t, k in zip(texts, folds)], pa.list_(pa.float64()))], names=[*names, "__features"])
-
-    return docs.mapInArrow(run, plus(docs.schema, __features=T.ArrayType(T.DoubleType()))).withColumn("__features", array_to_vector("__features"))
+    run = featured(shared, names.index(text_col), names.index(fold_col) if fold_col else None)
+    return map_columns(docs, run, (out, T.ArrayType(T.DoubleType()))).withColumn(out, array_to_vector(F.col(out)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 8000, max_terms: int = 50_000, id_col: str = "doc_id", text_col: str = "text", trees: int = 20) -> Model:
-    """A model from at most `rows` labelled rows; four fifths fit the trees, the rest the calibration.
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = 8000, chars: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", trees: int = 20) -> Model:
+    """A model from at most `rows` labelled texts of `chars` characters in all, as `bounded_sample` takes them.
 
+    Four fifths fit the trees, the rest the calibration. The lexicon holds every word and stem that
+    three rows of the sample use and toxic ones more often than others: its size, and what the driver
+    and a broadcast hold, are bounded by the sample. An id counts once, whatever rows repeat it.
     Without both labels the model answers with the share of ones (0 if there are no rows).
     """
-    sample = write_table(bounded_sample(docs, labels, label_col, rows, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")), "toxic")
-    sizes = {r.fold: (r.k, r.t) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("t")).collect()}
-    n, toxic = (sum(x[i] for x in sizes.values()) for i in (0, 1))
+    sample = write_table(bounded_sample(docs, labels, label_col, rows, chars, id_col, text_col).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")), "toxic")
+    sizes = {r.fold: (r.t, r.k) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("t")).collect()}
+    toxic, n = (sum(x[i] for x in sizes.values()) for i in (0, 1))
     if not toxic or toxic == n:
         return Model(toxic / n if n else 0.0)
-    counts = sample.select("text", "label", "fold").mapInArrow(_terms, "term string, label int, fold int").groupBy("term", "fold").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("k"))
-    terms = counts.groupBy("term").agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.collect_list(F.struct("fold", "t", "k")).alias("by_fold"))
+    counts = sample.select("text", "label", "fold").mapInArrow(terms, "term string, label int, fold int").groupBy("term")
+    of = lambda k, value: F.sum(F.when(F.col("fold") == k, value).otherwise(0)).cast("int")
+    counts = counts.agg(F.sum("label").cast("int").alias("t"), F.count(F.lit(1)).cast("int").alias("k"), *(x for i in range(FOLDS) for x in (of(i, F.col("label")).alias(f"t{i}"), of(i, F.lit(1)).alias(f"k{i}"))))
     lift = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("k") - F.col("t") + 0.5) / (n - toxic + 1))
-    kept = terms.where("k >= 3").where(lift >= 0.5).orderBy(F.desc(lift * F.log1p("k")), "term").limit(max_terms).collect()
-    lexicon = Lexicon({r.term: (r.t, r.k - r.t) for r in kept}, toxic, n - toxic)
+    kept = counts.where(F.col("k") >= 3).where(lift > 0).toArrow()  # columns, no more than words in the sample
+    names, t, k = kept.column("term").to_pylist(), kept.column("t").to_numpy(), kept.column("k").to_numpy()
+    lexicon = Lexicon.counted(names, t, k, toxic, n)
     apart = []
-    for fold in range(FOLDS):
-        out = {r.term: next(((x.t, x.k - x.t) for x in r.by_fold if x.fold == fold), (0, 0)) for r in kept}
-        k, t = sizes.get(fold, (0, 0))
-        apart.append(Lexicon({w: (a - out[w][0], b - out[w][1]) for w, (a, b) in lexicon.counts.items()}, toxic - t, n - toxic - (k - t)))
-    data = _features(sample, apart, "text", "fold").select("id", "label", "__features").coalesce(8)
+    for i in range(FOLDS):
+        own_t, own_k = sizes.get(i, (0, 0))
+        apart.append(Lexicon.counted(names, t - kept.column(f"t{i}").to_numpy(), k - kept.column(f"k{i}").to_numpy(), toxic - own_t, n - own_k))
+    shared = docs.sparkSession.sparkContext.broadcast(apart)
+    data = _features(sample, shared, "text", "x", "fold").select("id", "label", "x").coalesce(8)
     data = write_table(data.withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).withColumn("y", F.col("label").cast("double")), "features")
-    fit = data.where("not held")
-    model = GBTClassifier(featuresCol="__features", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(fit)
+    shared.destroy()
+    model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.3, maxBins=64, seed=7).fit(data.where("not held"))
     held = model.transform(data.where("held")).select("y", vector_to_array("probability")[1].alias("p"))
     if held.agg(F.countDistinct("y")).first()[0] < 2:
         held = model.transform(data).select("y", vector_to_array("probability")[1].alias("p"))
-    return Model(toxic / n, lexicon, model, IsotonicRegression(featuresCol="p", labelCol="y").fit(held))
+    out = Model(toxic / n, lexicon, model, IsotonicRegression(featuresCol="p", labelCol="y").fit(held))
+    drop_table(sample)
+    drop_table(data)
+    return out
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """`docs` with a column `out` (0 to 1) for each whole text; a column of that name is replaced.
 
-    Null and empty texts are scored as texts without words. Rows and other columns stay.
+    Null, empty and blank texts are scored as texts without words. Equal texts have equal scores;
+    rows that repeat and other columns stay, whatever their names. Empty tables stay empty.
     """
     docs = docs.drop(out)
     if model.trees is None:
         return docs.withColumn(out, F.lit(float(model.prior)))
-    trees = model.trees.copy().setRawPredictionCol("__raw").setProbabilityCol("__p").setPredictionCol("__class")
-    made = trees.transform(_features(docs, [model.lexicon], text_col)).withColumn("__p1", vector_to_array("__p")[1])
-    made = model.calibration.copy().setFeaturesCol("__p1").setPredictionCol("__fit").transform(made)
-    return made.select(*docs.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__fit")).alias(out))
+    x, raw, p, kind, p1, fit = free(docs, "x", "raw", "p", "kind", "p1", "fit")
+    shared = docs.sparkSession.sparkContext.broadcast([model.lexicon])  # bounded by the sample
+    trees = model.trees.copy().setFeaturesCol(x).setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(kind)
+    made = trees.transform(_features(docs, shared, text_col, x)).withColumn(p1, vector_to_array(p)[1])
+    made = model.calibration.copy().setFeaturesCol(p1).setPredictionCol(fit).transform(made)
+    return made.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(fit)))).drop(x, raw, p, kind, p1, fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Media columns: payloads in ISO base media files, and features read from their boxes alone.
 
 `to_media` stores bytes as the samples of one track; `probe` walks the nested boxes of any such
-file, decodes its sample tables and gives codec, duration and the byte ranges of keyframes without
-touching the samples; `payload` reads the samples' bytes back through the tables.
+file, decodes each track's sample tables and gives codec, duration and the byte ranges of keyframes
+without touching the samples; `payload` reads the samples' bytes back through the tables. Files in
+fragments (moof boxes) show only the samples that their moov box lists, and compact size tables
+(stz2) are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 RATE = 8000  # samples a second, one byte each
 UNIT, PER_CHUNK, KEY_EVERY, PAD = 4096, 8, 4, 64
 _HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
@@ -98,28 +102,59 @@ def _rows(data: memoryview, at: int, width: int, kind: str = ">u4") -> np.ndarra
     return np.frombuffer(data, kind, n * width, at + 8).astype(np.int64).reshape(n, width)
 
 
-def tables(data: memoryview) -> dict:
-    """Codec, time scale, duration, and offset, size and keyframe flag of each sample of the first track."""
-    track: dict[str, int] = {}
-    for path, start, _ in boxes(data):
-        track.setdefault(path.rsplit("/", 1)[1], start)
-    codec = bytes(data[track["stsd"] + 12 : track["stsd"] + 16]).decode("latin-1")
-    at = track["mdhd"]
-    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    fixed, n = struct.unpack_from(">II", data, track["stsz"] + 4)
-    sizes = np.full(n, fixed) if fixed else np.frombuffer(data, ">u4", n, track["stsz"] + 12).astype(np.int64)
-    chunk_at = _rows(data, track["stco"], 1)[:, 0] if "stco" in track else _rows(data, track["co64"], 1, ">u8")[:, 0]
-    per = _rows(data, track["stsc"], 3)
-    counts = np.repeat(per[:, 1], np.diff(np.append(per[:, 0], len(chunk_at) + 1)))[: len(chunk_at)]
+def tables(data: memoryview) -> list[dict]:
+    """Of each track: kind (its handler), codec, time scale, duration, and offset, size and keyframe flag of its samples.
+
+    Tables that do not fit together, or point outside of the file, are an error.
+    """
+    tracks: list[dict[str, tuple[int, int]]] = []
+    for path, start, end in boxes(data):
+        if path == "/moov/trak":
+            tracks.append({})
+        elif path.startswith("/moov/trak/"):
+            tracks[-1].setdefault(path.rsplit("/", 1)[1], (start, end))
+    return [_table_of(data, t) for t in tracks]
+
+
+def _table_of(data: memoryview, track: dict[str, tuple[int, int]]) -> dict:
+    at = {name: start for name, (start, _) in track.items()}
+    kind = bytes(data[at["hdlr"] + 8 : at["hdlr"] + 12]).decode("latin-1") if "hdlr" in at else ""
+    (entries,) = struct.unpack_from(">I", data, at["stsd"] + 4)
+    if not entries or at["stsd"] + 16 > track["stsd"][1]:
+        raise ValueError("a track without a sample description")
+    codec = bytes(data[at["stsd"] + 12 : at["stsd"] + 16]).decode("latin-1")
+    head = at["mdhd"]
+    scale, duration = struct.unpack_from(">IQ", data, head + 20) if data[head] == 1 else struct.unpack_from(">II", data, head + 12)
+    fixed, n = struct.unpack_from(">II", data, at["stsz"] + 4)
+    if (fixed or 4) * n > len(data):
+        raise ValueError("more samples than the file can hold")
+    sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at["stsz"] + 12).astype(np.int64)
+    chunk_at = _rows(data, at["stco"], 1)[:, 0] if "stco" in at else _rows(data, at["co64"], 1, ">u8")[:, 0]
+    per = _rows(data, at["stsc"], 3)
+    counts = np.repeat(per[:, 1], np.diff(np.append(per[:, 0], len(chunk_at) + 1))) if len(per) else np.empty(0, np.int64)
+    if len(counts) != len(chunk_at) or counts.sum() != n:
+        raise ValueError("chunks and samples do not match")
     first = np.cumsum(counts) - counts
     before = np.concatenate([[0], np.cumsum(sizes)])
-    offsets = np.repeat(chunk_at - before[first], counts)[:n] + before[:-1]
-    deltas = _rows(data, track["stts"], 2)
+    offsets = np.repeat(chunk_at - before[first], counts) + before[:-1]
+    if n and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples outside of the file")
+    deltas = _rows(data, at["stts"], 2)
     key = np.ones(n, bool)
-    if "stss" in track:
+    if "stss" in at:
+        which = _rows(data, at["stss"], 1)[:, 0]
+        if len(which) and which.min() < 1:
+            raise ValueError("samples count from 1")
         key[:] = False
-        key[_rows(data, track["stss"], 1)[:, 0] - 1] = True
-    return {"codec": codec, "scale": scale, "duration": duration, "ticks": int((deltas[:, 0] * deltas[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "key": key}
+        key[which - 1] = True
+    return {"kind": kind, "codec": codec, "scale": scale, "duration": duration, "ticks": int((deltas[:, 0] * deltas[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "key": key}
+
+
+def main_track(found: list[dict]) -> dict:
+    """The first track of pictures, or else of sound, or else the first."""
+    if not found:
+        raise ValueError("no track")
+    return min(found, key=lambda t: {"vide": 0, "soun": 1}.get(t["kind"], 2))
 
 
 def payload(data: memoryview, found: dict) -> bytes:
@@ -136,7 +171,12 @@ def feature(found: dict) -> str:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (of the text in UTF-8), media (the file). Null texts count as empty ones."""
+    """doc_id, n_bytes (of the text in UTF-8), media (the file).
+
+    Null texts count as empty ones, whose payload is 64 zeros. Equal texts give equal files; rows that
+    repeat and rows without an id are each stored. Texts of any length are stored whole, 64 files at a
+    time; above 4 GB the boxes use 64-bit sizes. Other columns are ignored. No rows give no files.
+    """
 
     def run(batches):
         for batch in batches:
@@ -147,39 +187,52 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_PROBE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, keyframes array<struct<offset:long,length:long>>"
+_RANGES = "array<struct<offset:long,length:long>>"
+_PROBE = {
+    "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "codec": "string", "duration": "double",
+    "keyframes": _RANGES, "other_tracks": f"array<struct<kind:string,codec:string,duration:double,keyframes:{_RANGES}>>",
+}
+
+
+def _described(track: dict) -> dict:
+    key = track["key"]
+    ranges = [{"offset": a, "length": b} for a, b in zip(track["offsets"][key].tolist(), track["sizes"][key].tolist())]
+    return {"kind": track["kind"], "codec": track["codec"], "duration": track["duration"] / track["scale"] if track["scale"] else None, "keyframes": ranges}
 
 
 def probe(media: DataFrame, media_col: str = "media", with_payload: bool = True) -> DataFrame:
     """The other columns of `media`, and what the boxes of `media_col` say.
 
-    codec, duration in seconds, keyframe byte ranges and a feature line come from the boxes alone;
-    with `with_payload`, size, SHA-256 and the CRC-32 of the last 64 bytes of the samples as well.
-    Null values and bytes that are no such file give nulls. A clashing column is replaced.
+    codec, duration in seconds (null without a time scale), keyframe byte ranges and a feature line
+    are those of the main track: the first of pictures, or else of sound; `other_tracks` has the rest.
+    They come from the boxes alone; with `with_payload`, size, SHA-256 and the CRC-32 of the last 64
+    bytes of the main track's samples as well. Null values give nulls; of bytes that are no such file,
+    or a damaged one, only size and SHA-256 are known. A clashing column is replaced; rows that repeat
+    stay. Files are read one at a time, whatever their size. Empty tables give empty results.
     """
-    made = [x.strip().split(" ")[0] for x in _PROBE.replace("offset:long,length:long", "").split(",")]
-    rest = [c for c in media.columns if c != media_col and c not in made]
-    schema = ", ".join([*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in rest), _PROBE])
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))]
+    rest = [c for c in media.columns if c != media_col and c.lower() not in _PROBE]
+    schema = ", ".join([*(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in rest), *(f"{k} {v}" for k, v in _PROBE.items())])
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges, pa.list_(pa.struct([("kind", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("keyframes", ranges)]))]
 
     def one(raw: bytes | None) -> tuple:
         if raw is None:
-            return (None,) * 9
+            return (None,) * 10
         data = memoryview(raw)
         try:
             found = tables(data)
-            body = payload(data, found) if with_payload else b""
-        except (KeyError, ValueError, IndexError, struct.error):
-            return (None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), None, None, None, None)
-        key = found["key"]
-        ranges = [{"offset": a, "length": b} for a, b in zip(found["offsets"][key].tolist(), found["sizes"][key].tolist())]
+            main = main_track(found)
+            body = payload(data, main) if with_payload else b""
+        except (KeyError, ValueError, IndexError, OverflowError, RecursionError, struct.error):
+            return (None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), *(None,) * 5)
         size = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-PAD:])) if with_payload else (None,) * 3
-        return (*size, len(raw), hashlib.sha256(raw).hexdigest(), feature(found), found["codec"], found["duration"] / found["scale"], ranges)
+        told = _described(main)
+        return (*size, len(raw), hashlib.sha256(raw).hexdigest(), feature(main), told["codec"], told["duration"], told["keyframes"], [_described(t) for t in found if t is not main])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = [one(x.as_py()) for x in batch.column(len(rest)).slice(at, 64)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 64) for i in range(len(rest))), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names=[*rest, *made])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, 64) for i in range(len(rest))), *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names=[*rest, *_PROBE])
 
-    return media.select(*rest, media_col).mapInArrow(run, schema)
+    return media.select(*(f"`{c}`" for c in (*rest, media_col))).mapInArrow(lambda batches: give_back(run(batches)), schema)

@@ -3,12 +3,15 @@
 A vector is stored as its coarse centre, the length of its residual, and four-bit codes of the
 residual's direction, one per pair of dimensions. Codes minimise a loss in which error parallel to
 the vector costs `eta` times error across it, since that is what moves large inner products. Every
-row is coded, in blocks of bounded size; query groups meet blocks, scan them through tables of 16
-entries a code, and the best of each block are ranked again exactly, in double precision.
+row is coded, in blocks of bounded size; groups of queries meet blocks, scan their codes through
+tables of 16 entries a code, and the best of each block are ranked again exactly, in double
+precision, on the vectors as they are stored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -121,74 +124,86 @@ def top(scores: np.ndarray, k: int) -> np.ndarray:
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+
+
+_FOUND = "query_id long, q_block int, q_place int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = 300, block: int = 8192, group: int = 2048, sample: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = 300, block: int = 65_536, group: int = 32_768, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row whose id `every` divides.
 
-    Vectors that are null, zero, hold null or non-finite components, or have another length than
-    most of the sample take no part; a row's own id is no candidate. Fewer candidates than `k`: all.
-    Equal scores go to the smaller id. No usable vectors: no rows. The quantiser is fitted on at
+    Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
+    no part. A row is no candidate of its own; others that repeat its id are, and each query row is
+    answered. Vectors of several lengths are searched length by length, since vectors of different
+    lengths have no inner product. Fewer candidates than `k`: all. Equal scores go to the smaller id.
+    No usable vectors: no rows. Other columns are ignored. The quantiser of a length is fitted on at
     most `sample` rows, chosen by a hash of the id; every row is coded and searched.
     """
-    spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(vectors, id_col, vec_col)
+    lengths = sorted(r.d for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1))).collect())
+    found = [_search(rows.where(F.size("v") == d), d, every, k, rerank, block, group, sample) for d in lengths]
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found, none)
+
+
+def _search(rows: DataFrame, dim: int, every: int, k: int, rerank: int, block: int, group: int, sample: int) -> DataFrame:
+    spark = rows.sparkSession
     n = rows.count()
-    if not n:
-        return spark.createDataFrame([], schema)
-    keep = min(1.0, 1.2 * sample / n)
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(keep * 1_000_000) + 1).limit(sample).toPandas()
-    lengths = chosen.v.map(len) if len(chosen) else None
-    if lengths is None or not len(lengths):
-        chosen = rows.limit(sample).toPandas()
-        lengths = chosen.v.map(len)
-    dim = int(lengths.mode()[0])
-    rows = rows.where(F.size("v") == dim)
-    model = spark.sparkContext.broadcast(Quantiser(np.stack([np.asarray(x, np.float64) for x in chosen.v[lengths == dim]])))
-
-    def pack(part: pa.Table, coded: bool):
+    share = int(min(1.0, 1.2 * sample / n) * 1_000_000) + 1
+    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("v").limit(sample).toArrow()
+    if not chosen.num_rows:
+        chosen = rows.select("v").limit(sample).toArrow()
+    flat = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    model = spark.sparkContext.broadcast(Quantiser(flat(chosen.column("v"))))  # centres and code books: a few numbers for each dimension
+    block = min(block, max(2048, -(-n // (2 * spark.sparkContext.defaultParallelism))))  # small tables still give every core a block
+    blocks = -(-n // block)
+
+    def pack(part: pa.Table) -> pa.Table:
         part = part.sort_by("vec_id")
-        x = part.column("v").combine_chunks()
-        x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, dim)
-        out = {"part": [part.column("part")[0].as_py()], "ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "raw": [x.astype("<f4").tobytes()]}
-        if coded:
-            codes, coarse, scale = model.value.encode(x.astype(np.float64))
-            out |= {"codes": [codes.tobytes()], "coarse": [coarse.astype("<i4").tobytes()], "scale": [scale.astype("<f4").tobytes()]}
-        return pa.table(out)
-
-    def dealt(df: DataFrame, size: int):
-        parts = max(1, -(-df.count() // size))
-        return df.withColumn("part", F.pmod(F.xxhash64(F.lit(size), "vec_id"), F.lit(parts)).cast("int")), parts
-
-    data, blocks = dealt(rows, block)
-    asks, groups = dealt(rows.where(F.col("vec_id") % every == 0), group)
-    data = write_table(data.groupBy("part").applyInArrow(lambda t: pack(t, True), "part long, ids binary, raw binary, codes binary, coarse binary, scale binary"), "codes")
-    asks = asks.groupBy("part").applyInArrow(lambda t: pack(t, False), "part long, ids binary, raw binary")
-    data = data.withColumnRenamed("part", "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asks = asks.select(F.col("part").alias("group"), F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def scan(batches):
-        m = model.value
+        x = flat(part.column("v"))
+        codes, coarse, scale = model.value.encode(x)
+        return pa.table({
+            "block": pa.array([part.column("block")[0].as_py()], pa.int32()), "ids": [part.column("vec_id").to_numpy().astype("<i8").tobytes()], "raw": [x.astype("<f8").tobytes()],
+            "codes": [codes.tobytes()], "coarse": [coarse.astype("<i4").tobytes()], "scale": [scale.astype("<f4").tobytes()],
+        })
+
+    def pick(batches):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                raw = np.frombuffer(row["raw"], "<f4").reshape(-1, dim)
-                queries = np.frombuffer(row["q_raw"], "<f4").reshape(-1, dim).astype(np.float64)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                coarse, scale = np.frombuffer(row["coarse"], "<i4"), np.frombuffer(row["scale"], "<f4")
-                for at in range(0, len(q_ids), 128):
-                    rough = m.scan(queries[at : at + 128], codes, coarse, scale)
-                    found = []
-                    for q_id, q, r in zip(q_ids[at : at + 128], queries[at : at + 128], rough):
-                        best = top(r, rerank + 1)
-                        best = np.sort(best[ids[best] != q_id])
-                        exact = np.cumsum(raw[best].astype(np.float64) * q, axis=1)[:, -1]  # in order of dimensions, whatever the row's place
-                        best, exact = (x[np.lexsort((ids[best], -exact))[:k]] for x in (best, exact))
-                        found.append((np.full(len(best), q_id), ids[best], exact))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"])
-
-    met = data.join(asks, ["block", "group"]).mapInArrow(scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                ids = np.frombuffer(row["ids"], "<i8")
+                at = np.flatnonzero(ids % every == 0)
+                raw = np.frombuffer(row["raw"], "<f8").reshape(-1, dim)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), row["block"], np.int32)), pa.array(at.astype(np.int32)), pa.array([x.tobytes() for x in raw], pa.binary())], names=["query_id", "q_block", "q_place", "q"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    data = write_table(dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, raw binary, codes binary, coarse binary, scale binary"), "codes")
+    asks = write_table(data.select("block", "ids", "raw").mapInArrow(pick, "query_id long, q_block int, q_place int, q binary"), "asks")
+    parts = -(-asks.count() // group) or 1
+    asks = asks.withColumn("part", F.pmod(F.xxhash64("query_id", "q_block", "q_place"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shared = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def scan(part: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0))]
+        for row in part.to_pylist() if asked.num_rows else ():
+            ids, raw = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["raw"], "<f8").reshape(-1, dim)
+            codes, coarse, scale = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["coarse"], "<i4"), np.frombuffer(row["scale"], "<f4")
+            step = max(1, 2_000_000 // len(ids))
+            for at in range(0, asked.num_rows, step):
+                some = asked.slice(at, step)
+                queries = np.frombuffer(b"".join(some.column("q").to_pylist()), "<f8").reshape(-1, dim)
+                rough = model.value.scan(queries, codes, coarse, scale)
+                for q_id, home, place, q, r in zip(*(some.column(c).to_pylist() for c in ("query_id", "q_block", "q_place")), queries, rough):
+                    best = top(r, rerank + 1)
+                    if home == row["block"]:
+                        best = best[best != place]
+                    best = np.sort(best)
+                    exact = np.cumsum(raw[best] * q, axis=1)[:, -1]  # in order of dimensions, whatever the row's place
+                    order = np.lexsort((ids[best], -exact))[:k]
+                    m = len(order)
+                    out.append((np.full(m, q_id, np.int64), np.full(m, home, np.int32), np.full(m, place, np.int32), ids[best][order], exact[order]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=["query_id", "q_block", "q_place", "vec_id", "score"])
+
+    met = shared.groupBy("block", "part").cogroup(asks.groupBy("block", "part")).applyInArrow(scan, _FOUND)
+    order = Window.partitionBy("query_id", "q_block", "q_place").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -94,12 +94,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of pages with equal payloads of at least `least` bytes, the one with the largest id is the
     response and the others revisit it; smaller ones, null and empty ones are responses. Rows that
-    repeat an id are each written; a page without an id never is what others refer to.
+    repeat an id are each written; a page without an id never is what others refer to. A page of any
+    length is one record, held whole by one task beside the archive it goes to. Clashing columns are
+    ignored. No pages give no archives.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body"))
     kept = rows.where(F.length("body") >= least).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha1", "first")
-    rows = rows.join(kept, "sha1", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")))
+    large = rows.where(F.length("body") >= least).join(kept, "sha1", "left")  # small and empty ones never meet in a task
+    large = large.select("page_id", "url", "body", "sha1", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
+    rows = large.union(rows.where(F.length("body") < least).select("page_id", "url", "body", "sha1", F.lit(None).cast("long")))
 
     def run(batches):
         held, size, close = [], 0, lambda: pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["n_records", "archive"])
@@ -120,21 +124,24 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def read_archives(archives: DataFrame, archive_col: str = "archive") -> DataFrame:
     """One row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html.
 
-    html is null for revisits. Null archives give no rows; a damaged one fails the job.
+    html is null for revisits. Null and empty archives give no rows; a damaged one fails the job.
+    Records that repeat are each returned, in batches of 500 or about 8 MB of payload. Other columns
+    are ignored.
     """
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for text in records(data.as_py()) if data.is_valid else ():
                     f = parse(text)
                     number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
                     kind = f["WARC-Type"]
                     rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["size"], f["sha1"], kind, number(f.get("WARC-Refers-To")), f["payload"].decode("utf-8", "replace") if kind == "response" else None))
-                    if len(rows) == 500:
+                    held += len(f["payload"])
+                    if len(rows) == 500 or held > 8_000_000:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 

@@ -40,7 +40,7 @@ def _byte_chars() -> list[str]:
 class Bpe:
     """A BPE vocabulary with word ends, read from a tokenizers file."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -176,18 +176,23 @@ class Bpe:
             at += k
 
     def learn(self, texts) -> None:
-        """Encode all new chunks of `texts` together, through one pair index."""
-        if len(self.cache) > self.keep:
-            self.cache.clear()
+        """Encode all new chunks of `texts` together, through one pair index; the cache holds about `keep` chunks."""
         new: set[str] = set()
         for t in texts:
             for part in self._parts(t or ""):
                 if type(part) is list:
                     new.update(part)
-            if len(new) > self.keep:
-                self._learn([w for w in new if w not in self.cache])
-                new = set()
-        self._learn([w for w in new if w not in self.cache])
+            if len(new) > self.keep // 2:
+                new = self._take(new)
+        self._take(new)
+
+    def _take(self, new: set[str]) -> set[str]:
+        missing = [w for w in new if w not in self.cache]
+        if len(self.cache) + len(missing) > self.keep:
+            self.cache.clear()
+            missing = list(new)
+        self._learn(missing)
+        return set()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -225,7 +230,7 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def gathered(batches, chars: int = 32_000_000):
+def gathered(batches, chars: int = 16_000_000):
     """Arrow batches of (id, text), put together until they hold about `chars` bytes of text.
 
     The larger the run, the fewer times a word is encoded; one batch at least is taken whole.

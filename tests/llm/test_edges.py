@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clinicweave.llm import ann, bpe, langid, line_dedup, media, ngram_join, packing, quality, toxicity, warc
+from clinicweave.llm.lexicon import FEATURES, Lexicon, plain
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "  \t\n", "one", "Two words", "a b c d e f g h i j k l", "a b c d e f g h i j k l", "long " * 5000, "é漢字😀 <|endoftext|> It's"]
@@ -22,7 +23,7 @@ TEXTS = [None, "", "  \t\n", "one", "Two words", "a b c d e f g h i j k l", "a b
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, t, "en" if k % 2 else None, 0.5, "x") for k, t in enumerate(TEXTS)]
-    return spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, lang string, score double, __doc string").cache()
+    return spark.createDataFrame([*rows, rows[5]], "doc_id long, text string, lang string, score double, __doc string").withColumns({c: F.lit(1) for c in ("x", "p", "fit", "row", "n", "h", "a.b")}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +51,7 @@ def test_media_walks_nested_boxes():
     data = media.to_iso(bytes(range(256)) * 400)
     paths = [p for p, _, _ in media.boxes(memoryview(data))]
     assert "/moov/trak/mdia/minf/stbl/stss" in paths and "/mdat" in paths
-    found = media.tables(memoryview(data))
+    found = media.tables(memoryview(data))[0]
     assert media.payload(memoryview(data), found) == bytes(range(256)) * 400
     assert found["ticks"] == found["duration"] == 102400
 
@@ -109,9 +110,29 @@ def test_best_fit_equals_plain_search():
         assert want == []
 
 
+def _kept_lines(rows):
+    """What is left of (id, text) rows: the rule of line_dedup, over all pairs of lines."""
+    order = lambda i, t: (i is not None, i or 0, t)
+    first: dict[str, tuple] = {}
+    for i, t in sorted(rows, key=lambda r: order(r[0], r[1] or "")):
+        for k, line in enumerate((t or "").split("\n")):
+            first.setdefault(line.strip(" \t\r"), (order(i, t or ""), k))
+    out = []
+    for i, t in rows:
+        kept = []
+        for k, line in enumerate((t or "").split("\n")):
+            x = line.strip(" \t\r")
+            here = (order(i, t or ""), k)
+            earlier = first[x] < here or len(x) >= 16 and any(f < first[x] and line_dedup.within_one(x, y) for y, f in first.items() if y != x and len(y) >= 16)
+            if not x or not earlier:
+                kept.append(line)
+        out.append((i, None if t is None else "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
 def test_line_dedup_brute_force(spark):
     rng = random.Random(3)
-    base = ["".join(rng.choice("abcde ") for _ in range(24)).strip().ljust(20, "z") for _ in range(12)]
+    base = ["".join(rng.choice("abcde ") for _ in range(n)).strip().ljust(n - 4, "z") for n in [24, 20, 33, 19, 47, 16] * 2]
     texts = []
     for _ in range(60):
         lines = []
@@ -123,28 +144,25 @@ def test_line_dedup_brute_force(spark):
                 line[p : p + (kind != 1)] = [] if kind == 0 else ["q"]
             lines.append("".join(line))
         texts.append("\n".join(lines))
-    rows = [*enumerate(texts), (100, None), (101, ""), (102, "short\nshort")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    first: dict[str, tuple] = {}
-    for d, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            first.setdefault(line.strip(" \t\r"), (d, k))
-    want = {}
-    for d, t in rows:
-        kept = []
-        for k, line in enumerate((t or "").split("\n")):
-            x = line.strip(" \t\r")
-            earlier = first[x] < (d, k) or any(f < (d, k) and f < first[x] and line_dedup.within_one(x, y) for y, f in first.items() if y != x and len(y) >= 16)
-            if len(x) < 16 or not earlier:
-                kept.append(line)
-        want[d] = None if t is None else "\n".join(kept)
-    assert got == want
-    counts = line_dedup.dedup_lines(docs.select("doc_id", "text"), counts=True).where("doc_id = 100").first()
+    rows = [*enumerate(texts), (100, None), (101, ""), (102, "short\nshort\n\n\nshor"), (103, "x" * 30_000 + "\n" + "x" * 29_999 + "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_lines", "doc", "th", "gone", "gone_doc", "a.b")})
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == docs.columns and sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == _kept_lines(rows)
+    counts = line_dedup.dedup_lines(docs, counts=True).where("doc_id = 100").first()
     assert (counts.n_lines, counts.n_removed) == (0, 0)
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_line_dedup_repeated_and_missing_ids(spark):
+    x, near = "a line that comes again", "a line that comes agein"
+    rows = [(5, f"{x}\nb\nc\nunique to the first row"), (5, f"d\ne\nf\n{x}"), (None, near), (7, near), (7, near), (None, f"{near}\nalone"), (None, None)]
+    by_hash = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows if t], "t string").select("t", F.xxhash64("t")).distinct().collect()}
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    first = min((near, f"{near}\nalone"), key=by_hash.get)
+    want = [(5, "b\nc\nunique to the first row"), (5, "d\ne\nf"), (7, ""), (7, ""), (None, near if first == near else ""), (None, "alone" if first == near else f"{near}\nalone"), (None, None)]
+    assert got == sorted(want, key=repr)
+
+
 @given(st.text(alphabet="abé", max_size=7), st.text(alphabet="abé", max_size=7))
 def test_within_one_equals_levenshtein(a, b):
     d = list(range(len(b) + 1))
@@ -190,7 +208,7 @@ def test_jaccard_brute_force(spark, docs):
             base.append(t)
         rows.append((k, " ".join(t)))
     rows += [(900 + k, t) for k, t in enumerate(TEXTS)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=20).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=700).collect()}
     assert got == _components(rows)
     again = ngram_join.jaccard_components(docs).collect()
     assert len(again) == len(TEXTS) + 1 and {r.component_id for r in again if r.doc_id in (5, 6)} == {5}
@@ -200,8 +218,32 @@ def test_jaccard_brute_force(spark, docs):
 @given(st.lists(st.lists(st.integers(0, 25), unique=True).map(sorted), max_size=8), st.integers(1, 6))
 def test_divide_skip(lists, need):
     counts = Counter(x for y in lists for x in y)
-    for many in (0, 1024):
-        assert ngram_join.divide_skip(lists, need, many) == sorted(k for k, v in counts.items() if v >= need)
+    assert ngram_join.divide_skip(lists, need) == sorted((k, v) for k, v in counts.items() if v >= need)
+
+
+def test_jaccard_common_passage_long_texts_and_ids(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage, long = [word() for _ in range(50)], [word() for _ in range(20_000)]
+    rows = [(k, " ".join([*(word() for _ in range(rng.randint(5, 60))), *passage, *(word() for _ in range(5))])) for k in range(80)]
+    rows += [(200, " ".join(long)), (201, " ".join(long[:500] + [word() for _ in range(200)] + long[700:])), (202, " ".join(long[:15_000] + [word() for _ in range(5_000)]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=3000).collect()}
+    assert got == _components(rows) and got[201][1] == 200 and got[202][1] == 202
+    twice = [(1, rows[0][1]), (1, rows[1][1]), (2, rows[0][1]), (2, rows[0][1]), (None, rows[1][1]), (None, rows[2][1]), (3, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.jaccard_components(spark.createDataFrame(twice, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (2, 1), (3, 3)]
+
+
+def test_links_come_by_each_way(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(120)]
+    rows = []
+    for k in range(300):  # a chain: each text is like its neighbours only
+        base = [*base[3:], *(f"w{rng.randrange(100_000)}" for _ in range(3))]
+        rows.append((k, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, block=2000).collect()}
+    assert got == {k: v for k, (_, v) in _components(rows).items()} and set(got.values()) == {0}
 
 
 def test_warc(spark):
@@ -297,7 +339,7 @@ def test_quality(spark, docs):
     got = {r.doc_id: r.score for r in quality.score(texts, model).collect()}
     assert all((got[k] >= 0.5) == (k % 3 != 0) for k in range(180, 240))
     kept = quality.with_score(docs, model)
-    assert kept.columns == ["doc_id", "text", "lang", "__doc", "score"] and kept.where("score between 0 and 1").count() == len(TEXTS) + 1
+    assert set(kept.columns) == set(docs.columns) and kept.where("score between 0 and 1").count() == len(TEXTS) + 1
     assert quality.train(texts, labels.where("false")).score("x") == 0.5
     assert quality.train(texts, labels.where("quality = 1")).score("x") == 1.0
 
@@ -313,14 +355,14 @@ def test_toxicity(spark, docs):
 
 
 def test_obfuscated_words():
-    assert toxicity.plain("id1ot") == "idiot" and toxicity.plain("idiiiiot") == "idiiot"
+    assert plain("id1ot") == "idiot" and plain("idiiiiot") == "idiiot"
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 65, 4096, 4097, 40000])
 def test_iso_sizes(n):
     payload = media.padded(b"a" * n)
     data = memoryview(media.to_iso(payload))
-    assert media.payload(data, media.tables(data)) == payload and len(payload) % 64 == 0 and len(payload) > 0
+    assert media.payload(data, media.tables(data)[0]) == payload and len(payload) % 64 == 0 and len(payload) > 0
 
 
 
@@ -340,11 +382,162 @@ def test_warc_checks_payloads():
             warc.parse(bad)
 
 
-def test_language_skips_only_the_text_that_does_not_fit(spark):
-    rng = random.Random(8)
-    parts = {"en": ["the ", "and ", "ing ", "tion "], "fr": ["le ", "eaux ", "ment ", "que "]}
-    ids = [r.id for r in spark.range(80).orderBy(F.xxhash64(F.col("id").cast("string"))).collect()]
-    rows = [(i, "".join(rng.choice(parts[lang]) for _ in range(9000 if n < 2 else 40)), lang) for n, i in enumerate(ids) for lang in [list(parts)[n % 2]]]
-    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_lang=20, held_per_lang=20, max_chars=20_000)
-    assert models.predict(["the and " * 9, "le que " * 9])[0] == ["en", "fr"]
-    assert models.margin > 0 and np.isfinite(models.worst)  # set by the rows for calibration
+def _plain_kneser_ney(rows, order, discount, text):
+    """Bits a character of `text` under each language, from dictionaries of strings."""
+    out = {}
+    texts = {lang: [" " + "".join(chr(x) for x in langid.clean(t)) for t, x in rows if x == lang] for _, lang in rows}
+    every = {n: {t[i : i + n] for some in texts.values() for t in some for i in range(len(t) - n + 1)} for n in range(1, order + 1)}
+    for lang, some in texts.items():
+        own = {n: Counter(t[i : i + n] for t in some for i in range(len(t) - n + 1)) for n in range(1, order + 1)}
+        before = {n: Counter(g[1:] for g in own[n + 1]) for n in range(1, order)}
+        seen = {n: {g: (c if n == order else before[n].get(g, 1)) for g, c in own[n].items()} for n in own}
+        total = {n: Counter() for n in own}
+        kinds = {n: Counter() for n in own}
+        for n in own:
+            for g, c in seen[n].items():
+                total[n][g[:-1]] += c
+                kinds[n][g[:-1]] += 1
+        left = lambda ctx: discount * kinds[len(ctx) + 1][ctx] / total[len(ctx) + 1][ctx] if ctx in kinds[len(ctx) + 1] else 1.0  # noqa: E731, B023
+
+        def p(g):
+            n = len(g)
+            if g in own[n]:  # noqa: B023
+                return max(seen[n][g] - discount, 0) / total[n][g[:-1]] + left(g[:-1]) * (p(g[1:]) if n > 1 else 1 / 1000)  # noqa: B023
+            return left(g[:-1]) * p(g[1:]) if n > 1 else 1e-6  # noqa: B023
+
+        c = " " + "".join(chr(x) for x in langid.clean(text))
+        out[lang] = -sum(np.log2(p(c[max(0, i - order + 1) : i + 1])) for i in range(1, len(c))) / max(1, len(c) - 1)
+    assert every
+    return out
+
+
+def test_language_equals_plain_kneser_ney(spark):
+    rng = random.Random(21)
+    parts = {"en": ["the ", "and ", "ing ", "tion "], "fr": ["le ", "eaux ", "ment ", "que "], "de": ["der ", "und ", "ung ", "lich "]}
+    rows = [("".join(rng.choice(parts[lang]) for _ in range(rng.randint(0, 30))), lang) for lang in list(parts) * 12] + [("a", "en"), ("é", "fr"), ("", "de")]
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    models = langid.train(df, held_per_lang=0)
+    asked = ["de", "un", "la", "el", "es", "a", "i", "que", "in", "the und eaux", "zzz", "Ünd, 12 the!", "x" * 50, "tion ment " * 30]
+    alone = [models.entropies([t])[0] for t in asked]
+    for t, h in zip(asked, alone):
+        want = _plain_kneser_ney(rows, 4, 0.75, t)
+        assert np.allclose(h, [want[x] for x in models.langs], atol=1e-5), t
+    assert np.array_equal(np.array(alone), models.entropies(asked)) and np.array_equal(np.array(alone)[::-1], models.entropies(asked[::-1]))
+    again = langid.train(df.repartition(7).orderBy(F.desc("doc_id")), held_per_lang=0)
+    assert all(np.array_equal(a, b) for a, b in zip([*models.keys, *models.logp, *models.back], [*again.keys, *again.logp, *again.back]))
+
+
+def test_language_long_texts_are_cut_at_no_cost(monkeypatch):
+    c = "the quick brown fox, then another one " * 40
+    whole = sorted((k, g, n) for k, part in langid.counted([c, "a", "", c], 4) for g, _, _, n in zip(*part) if k == 4)
+    monkeypatch.setattr(langid.pieces, "__defaults__", (50,))
+    cut = Counter()
+    for k, part in langid.counted([c, "a", "", c], 4):
+        for g, _, _, n in zip(*part):
+            cut[k, g] += n
+    assert sorted((k, g, n) for (k, g), n in cut.items() if k == 4) == whole
+
+
+def test_language_short_and_odd_texts(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("a", "en"), ("b", "fr"), ("", "en"), ("!", "fr"), (None, "fr"), ("c", None)])]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.langs == ["en", "fr"] and models.predict(["a", "b", "?"])[0] == ["en", "fr", "und"]
+    assert langid.train(spark.createDataFrame([(1, "?!", "en")], "doc_id long, text string, lang string")).langs in ([], ["en"])
+    with pytest.raises(ValueError, match="lower the order"):
+        langid.train(spark.createDataFrame([(k, "ab", "en") for k in range(20)], "doc_id long, text string, lang string"), most_bytes=10)
+
+
+def _track(kind, sizes, keys, chunks, at, codec=b"raw ", wide=False):
+    """A trak box: samples of `sizes`, in chunks of the given numbers of samples that begin at `at`."""
+    per = np.array([[k + 1, c, 1] for k, c in enumerate(chunks)])
+    offsets = media._full(b"co64", len(at).to_bytes(4, "big"), np.array(at, ">u8").tobytes()) if wide else media._table(b"stco", np.array(at))
+    stbl = media._box(
+        b"stbl", media._full(b"stsd", b"\0\0\0\1", media._box(codec, bytes(28))), media._table(b"stts", np.array([[len(sizes), 1]])), media._table(b"stsc", per),
+        media._full(b"stsz", b"\0\0\0\0", len(sizes).to_bytes(4, "big"), np.array(sizes, ">u4").tobytes()), offsets, *([media._table(b"stss", np.array(keys))] if keys else []),
+    )
+    mdhd = media._full(b"mdhd", bytes(8), (0 if kind == b"none" else 10).to_bytes(4, "big"), len(sizes).to_bytes(4, "big"), bytes(4))
+    return media._box(b"trak", media._box(b"mdia", mdhd, media._full(b"hdlr", bytes(4), kind, bytes(12)), media._box(b"minf", stbl)))
+
+
+def test_media_tracks_are_kept_apart(spark):
+    body = bytes(range(200))
+    head = media._box(b"ftyp", b"isom")
+    mdat = b"\0\0\0\1mdat" + (16 + len(body)).to_bytes(8, "big") + body  # a size of 64 bits
+    at = len(head) + 16
+    sound = _track(b"soun", [20, 20], [], [2], [at + 100])
+    pictures = _track(b"vide", [10, 20, 30, 40], [1, 3, 4], [1, 2, 1], [at, at + 10, at + 60], b"avc1", wide=True)
+    file = head + mdat + media._box(b"moov", sound, pictures)
+    r = media.probe(spark.createDataFrame([(1, bytearray(file))], "doc_id long, media binary")).first()
+    assert r.codec == "avc1" and r.duration == 0.4 and [(x.offset - at, x.length) for x in r.keyframes] == [(0, 10), (30, 30), (60, 40)]
+    assert r.payload_sha256 == hashlib.sha256(body[:100]).hexdigest()
+    assert [(t.kind, t.codec, len(t.keyframes)) for t in r.other_tracks] == [("soun", "raw ", 2)]
+    good = _track(b"none", [1], [], [1], [at])
+    bad = [
+        good.replace(b"stsz\0\0\0\0\0\0\0\0\0\0\0\1", b"stsz\0\0\0\0\0\0\0\1\x7f\0\0\0"), _track(b"soun", [1], [7], [1], [at]), _track(b"soun", [1], [], [9], [at]),
+        _track(b"soun", [999], [], [1], [at]), _track(b"soun", [1, 1], [], [1], [at]), good.replace(b"stsd", b"free"),
+    ]
+    rows = [(k, bytearray(head + mdat + media._box(b"moov", t))) for k, t in enumerate([good, *bad, b""])]
+    got = {r.doc_id: r for r in media.probe(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[0].codec == "raw " and got[0].duration is None  # no time scale
+    assert all(got[k].codec is None and got[k].media_bytes > 0 for k in range(1, len(rows)))
+
+
+def test_scores_of_doubles_and_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(100 + k, rng.normal(size=3).tolist()) for k in range(5)] + [(20, x[3].tolist())]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(v for _, v, _ in got[100]) == [101, 102, 103, 104] and len(got[20]) == 10  # two rows have the id 20
+    s = sorted(((float(np.cumsum(x[0] * y)[-1]), -i) for i, y in [*enumerate(x), (20, x[3])] if i != 0), reverse=True)[:5]
+    assert [(v, f) for _, v, f in sorted(got[0])] == [(-i, f) for f, i in s]
+
+
+def test_warc_small_pages_do_not_meet(spark):
+    pages = spark.createDataFrame([(k, "u", "") for k in range(50)] + [(100 + k, "u", "y" * 1500) for k in range(3)], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert len(got) == 53 and {k: v for k, v in got.items() if v is not None} == {100: 102, 101: 102}
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    texts = spark.createDataFrame([(k % 30, f"text {k % 3} " * 5) for k in range(3000)] + [(7, "long " * 100_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    got = quality.bounded_sample(texts, labels, "quality", 10, 2000).collect()
+    assert len(got) == len({r.id for r in got}) <= 10 and sum(len(r.text) for r in got) <= 2000
+    assert len(quality.bounded_sample(texts, labels, "quality", 10, 100).collect()) <= 3
+
+
+def test_quality_step_is_the_gradient():
+    rng = np.random.default_rng(3)
+    docs = [(np.sort(rng.choice(quality.BUCKETS, 5, replace=False)), np.full(5, 0.2, np.float32)) for _ in range(2)]
+    labels = np.array([0, 1])
+    before = quality.Classifier().fit(docs, labels, epochs=1, rate=1e-9)
+    after = quality.Classifier().fit(docs, labels, epochs=300, rate=1.0)
+    loss = lambda m: sum(np.log1p(np.exp(-(2 * y - 1) * (float((m.weights[at] * part).sum()) + m.bias))) for (at, part), y in zip(docs, labels))
+    assert abs(loss(before) - 2 * np.log(2)) < 1e-3 and loss(after) < 0.1
+    at = quality.buckets("one two".encode())
+    after.weights[:] = 0
+    after.weights[at[0]] = 8.0
+    mean = 8.0 * float((at == at[0]).sum()) / len(at)
+    assert abs(after.score("one two") - 1 / (1 + np.exp(-(mean + after.bias)))) < 1e-6
+
+
+def test_features_by_hand():
+    lex = Lexicon({"idiot": 2.0, "idio*": 1.0, "fool*": 0.5})
+    f = dict(zip(FEATURES, lex.features("YOU are an Idiot! Foolish id1ot, well then what is it that we say here now you")))
+    assert abs(f["density"] - 1 / 17) < 1e-6 and abs(f["mass"] - 2.5 / 17) < 1e-6 and f["peak"] == 2.0
+    assert f["second_near"] == 1.0 and abs(f["second"] - 2 / 17) < 1e-6 and abs(f["obfuscated"] - 1 / 17) < 1e-6 and abs(f["hidden_hits"] - np.log(2)) < 1e-6
+    small = Lexicon({"idiot": 2.0}, keep=2)
+    assert small.features("a b c d e f") and small.features("idiot you") == Lexicon({"idiot": 2.0}).features("idiot you")
+    assert lex.features(None) == lex.features(" \n") == [0.0] * len(FEATURES)
+
+
+def test_toxicity_output_is_isotonic(spark):
+    texts, labels = _labelled(spark)
+    model = toxicity.train(texts, labels, trees=5)
+    x, y = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 <= y.min() and y.max() <= 1
+    both = toxicity.score(texts.union(texts).repartition(5), model).groupBy("doc_id").agg(F.countDistinct("score").alias("k"), F.count("score").alias("n"))
+    assert both.where("k <> 1 or n <> 2").count() == 0
+

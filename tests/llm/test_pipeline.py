@@ -49,7 +49,7 @@ def test_lines_occur_once(stages):
     for text in stages["lines"].text.dropna():
         for line in text.split("\n"):
             x = line.strip(" \t\r")
-            assert len(x) < 16 or x not in seen
+            assert not x or x not in seen
             seen.add(x)
 
 
@@ -58,7 +58,7 @@ def test_one_document_of_each_group(stages):
     sets = {}
     for i, t in zip(before.doc_id, before.text):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
     home = {i: i for i in sets}
 
     def root(i):
@@ -69,7 +69,7 @@ def test_one_document_of_each_group(stages):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 home[max(x, y)] = min(x, y)
     assert after == {i for i in ids if root(i) == i}
@@ -101,3 +101,17 @@ def test_near_copies_by_the_rule_of_the_stage(spark):
     rows = [words, scattered, longer, longer + [f"t{k}" for k in range(45)], [f"u{k}" for k in range(300)], far]
     docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()} == {0, 2, 4, 5}
+
+
+def test_repeated_ids_missing_ids_and_clashing_names(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, " ".join(f"c{k}" for k in range(40))), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as th", "2 as gone", "3 as score", "4 as x", "5 as `a.b`")
+    kept = corpus_pipeline.dedup_documents(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), rows[4], rows[5], rows[6], rows[7]], key=repr)
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.drop_toxic):
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns and left.where("coalesce(text, '') = ''").count() == 3
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0

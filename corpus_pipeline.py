@@ -1,10 +1,12 @@
 """A training-corpus pipeline: classify, filter, deduplicate lines and documents, pack.
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and is written as
-Parquet before the next one reads it. All but the last return the columns of documents. Null and
-empty texts pass the filters as their models score texts without words, keep their rows through
-both deduplications, and are packed as a lone end token. Empty tables give empty results, and
-extra columns are carried through.
+Parquet before the next one reads it. All but the last return the columns of documents. Null, empty
+and blank texts hold nothing that a filter could reject: they pass both, keep their rows through
+both deduplications, and are packed as a lone end token or their few tokens. Texts of any length are
+judged whole; rows that repeat are judged alike, and rows that repeat both id and text count as one
+document; rows without an id are near copies like others. Empty tables give empty results, and extra
+columns are carried through, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,38 +15,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinicweave.llm import line_dedup, ngram_join, packing, quality, toxicity
-from clinicweave.llm.common import read, small, write_table
+from clinicweave.llm.common import free, narrow_batches, read, write_table
 from clinicweave.llm.queries import TOKENIZER, learnable
 
 LOW_QUALITY, TOXIC = 0.5, 0.7
 NEAR = {"num": 80, "den": 100, "words": 5}  # near copies share 80 % of their five-word shingles; op7's query has its own rule
 
 
+def _blank() -> F.Column:
+    return ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\S")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.5."""
+    """Documents whose quality score is at least 0.5, and those without words."""
+    narrow_batches(spark)
+    (score,) = free(docs, "score")
     model = quality.train(docs, learnable(read(spark, sf_dir, "labels")))
-    return quality.with_score(docs, model, out="__score").where(F.col("__score") >= LOW_QUALITY).select(*docs.columns)
+    return quality.with_score(docs, model, out=score).where((F.col(score) >= LOW_QUALITY) | _blank()).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """Documents whose toxicity score is below 0.7, and those without words."""
+    narrow_batches(spark)
+    (score,) = free(docs, "score")
     model = toxicity.train(docs, learnable(read(spark, sf_dir, "labels")))
-    return toxicity.with_score(docs, model, out="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
+    return toxicity.with_score(docs, model, out=score).where((F.col(score) < TOXIC) | _blank()).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one holds exactly or within one edit."""
+    narrow_batches(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; texts without words all stay."""
-    found = write_table(ngram_join.jaccard_components(docs, **NEAR).where("component_id <> doc_id").select(F.col("doc_id").alias("__id")), "copies")
-    return docs.join(small(found, found.count()), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    narrow_batches(spark)
+    th, gone, gone_th = free(docs, "th", "gone", "gone_th")
+    found = ngram_join.groups(docs, **NEAR).where("not first").select(F.col("doc_id").alias(gone), F.col("th").alias(gone_th)).distinct()
+    keyed = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(th) == F.col(gone_th))
+    return keyed.join(found, same, "left_anti").drop(th)  # by shuffle: copies grow with the documents
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, in windows of 2048 tokens."""
+    narrow_batches(spark)
     return packing.pack(docs, TOKENIZER)
 
 

@@ -28,7 +28,7 @@ VERIFIED = [
     '{"verified_specialties":[{"specialty":"trauma","has":true,"evidence":"e"}],"verified_equipment":[{"equipment":"ct","has":false,"evidence":""}],"staffing":{"model":"visiting","evidence":"v"},"contradictions":[{"claim":"c","gap":"g","severity":"medium"}],"completeness_flags":{"missing_fields":["a"]}}',
 ]
 QUERIES = [
-    "nearest ICU hospital in Bihar with oxygen", "dialysis near 800001 within 50 km", "cardiology in UP", "maternity hospital in Tamil Nadu", "urgent trauma care 110001", "icu or trauma", "x-ray and ct scan in west bengal",
+    "closest ICU in Bihar that has oxygen, urgent", "dialysis near 800001 within 50 km", "cardiology in UP", "maternity hospital in Tamil Nadu", "urgent trauma care 110001", "icu or trauma", "x-ray and ct scan in west bengal",
     "blood bank 999999 within 10 km", "heart care in goa within 100 km", "", "emergency ambulance in Kerala 682001 within 0 km", "child care in Sikkim",
 ]
 PIN_TABLE = [
@@ -73,5 +73,19 @@ def pins_sql() -> str:
     return values_sql(PIN_TABLE, "pin_code, state, district, latitude, longitude")
 
 
+# Parts of the query text of each customer.
+WISH = ["icu", "heart surgery", "dialysis", "X-ray and CT scan", "maternity", "trauma", "", "eye care", "vent and o2"]
+MANNER = ["", "nearest", "urgent", "find", "24/7", "good"]
+PLACE = ["in Bihar", "or West Bengal", "near 800001", "in UP", "", "around 12345", "at 110001 in delhi", "in a & b", "Tamil Nadu"]
+REACH = ["", "within 50 km", "12 kms", "within 5 kilometers", "100km away", "km"]
+
+
+def asked_columns(spark: bool) -> str:
+    """An expression over customer: a query text, from the parts by key arithmetic."""
+    lit = lambda values: ", ".join(f"'{x}'" for x in values)
+    pick = lambda values: f"element_at(array({lit(values)}), cast(c_custkey % {len(values)} + 1 as int))" if spark else f"list_extract([{lit(values)}], c_custkey % {len(values)} + 1)"
+    return f"concat(' ', {', chr(32), '.join(pick(v) for v in (MANNER, WISH, PLACE, REACH))}, ' ')"
+
+
 def queries_sql() -> str:
     return values_sql(list(enumerate(QUERIES)), "query_id, query")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import vocab
-from ..operators import extraction
+from ..operators import extraction, queries
 from ..operators.bm25 import B, EPSILON, K1
 from . import fixture
 
@@ -190,6 +190,66 @@ BM25 = f"""docs AS (SELECT doc_id, {TOKENS('text')} AS tk FROM documents), post
  terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {EPSILON} * (SELECT avg(raw) FROM t0) ELSE raw END AS idf FROM t0), qs AS (SELECT item_id AS query, w AS term, count(*) AS times FROM benchmark, unnest({TOKENS('text')}) AS u(w) GROUP BY ALL),
  bm AS (SELECT query, doc_id, sum(idf * times * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / (SELECT avgdl FROM corp)))) AS score FROM qs JOIN terms USING (term) JOIN post USING (term) GROUP BY ALL)"""
 
+NEAREST = "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), pr AS (SELECT a.vec_id AS query, b.vec_id AS id, list_inner_product(a.v, b.v) AS s FROM x a, x b WHERE a.vec_id % 50 = 0), near AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 200)"
+
+
+def _parsed(source: str) -> str:
+    """(query_id, q, low, state, pin, radius_km, specialties, requirements, sort) of the queries in `source` (query_id, query)."""
+    full = " ".join(rf"WHEN regexp_matches(low, '\b{s}\b') THEN '{s}'" for s in sorted(vocab.STATES, key=len, reverse=True))
+    valid = {a: s for a, s in vocab.STATE_ALIASES.items() if s in vocab.STATES and len(a) <= 3}
+    short = "list_filter(regexp_extract_all(low, '\\b([a-z&]{2,3})\\b', 1), lambda w: list_contains(" + lst(list(valid)) + ", w))[1]"
+    alias = " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in valid.items())
+    urgent, km = queries.URGENT.replace("'", "''"), queries._KM
+    return rf"""p0 AS (SELECT query_id, {strip('query')} AS q, lower({strip('query')}) AS low FROM ({source})), p1 AS (SELECT *, nullif(regexp_extract(q, '\b(\d{{6}})\b', 1), '') AS pin, regexp_matches(low, '{urgent}') AS urgent,
+  coalesce(CASE {full} END, CASE {short} {alias} END) AS st, coalesce(nullif(regexp_extract(low, '\bwithin\s+{km}', 1), ''), nullif(regexp_extract(low, '\b{km}', 1), '')) AS km FROM p0),
+ parsed AS (SELECT *, {title('st')} AS state, coalesce(CAST(km AS DOUBLE), CASE WHEN urgent OR pin IS NOT NULL THEN 30.0 END) AS radius_km, CASE WHEN urgent OR pin IS NOT NULL THEN 'distance' ELSE 'relevance' END AS sort, {tags('low', vocab.SPECIALTIES)} AS specialties, {tags('low', vocab.EQUIPMENT)} AS requirements FROM p1)"""
+
+
+def _candidates() -> str:
+    """All pairs of the fixed queries that are left after state and radius, and every facility for queries without any."""
+    d = km("q_lat", "q_lon", "lat", "lon")
+    where = "CASE WHEN q_lat IS NOT NULL AND radius_km > 0 THEN km <= radius_km AND (want IS NULL OR want = have) WHEN want IS NOT NULL THEN want = have ELSE false END"
+    name = f"CASE WHEN want = have THEN 1.0 WHEN want = lower({strip('district')}) THEN 0.5 ELSE 0.0 END"
+    return f"""{_parsed(fixture.queries_sql())}, asked AS (SELECT parsed.*, {state('parsed.state')} AS want, coalesce(pins.latitude, px.lat) AS q_lat, coalesce(pins.longitude, px.lon) AS q_lon FROM parsed LEFT JOIN pins ON pins.pin_code = parsed.pin LEFT JOIN px ON px.k = substr(parsed.pin, 1, 3)),
+ met AS (SELECT query_id, hospital_id, want, radius_km, q_lat, {state('fac.state')} AS have, district, {d} AS km FROM asked, fac), hit AS (SELECT *, coalesce({where}, false) AS here FROM met), hits AS (SELECT query_id, bool_or(here) AS any_here FROM hit GROUP BY 1),
+ cand AS (SELECT hit.*, CASE WHEN km IS NULL THEN {name} WHEN radius_km > 0 THEN greatest(0.0, 1 - km / radius_km) ELSE 1 / (1 + km / 50) END AS location FROM hit JOIN hits USING (query_id) WHERE here OR NOT any_here)"""
+
+
+def _evidence() -> str:
+    j = lambda p, d: f"coalesce(json_extract_string(j, '$.{p}'), '{d}')"
+    an, cs = j("staff.anesthesiologist", "unknown"), j("surgery.caesarean", "uncertain")
+    says = {
+        "SURGERY_NO_ANESTHESIOLOGIST": f"'surgery=' || {j('surgery.general_surgery', 'uncertain')} || ', caesarean=' || {cs} || ', anesthesiologist=' || {an}", "ICU_NON_FUNCTIONAL": f"'icu.present=' || {j('icu.present', 'uncertain')} || ', icu.functional_status=' || {j('icu.functional_status', 'unknown')}",
+        "ICU_NO_BEDS": "'ICU confirmed but bed_count=null'", "24_7_NO_STAFF": f"'is_24_7=true but GP=' || {j('staff.general_physician', 'unknown')} || ', surgeon=' || {j('staff.surgeon', 'unknown')}", "CARDIAC_SURGERY_RURAL_CLINIC": f"'cardiac=' || {j('surgery.cardiac', 'uncertain')} || ', facility_type=' || facility_type",
+        "ZERO_DOCTORS_MANY_SPECIALTIES": "'total_doctors=0, specialist_types_count=' || json_array_length(j, '$.staff.specialist_types')", "VENTILATOR_NO_ICU": f"'ventilator=' || {j('ventilator.present', 'not_present')} || ', icu=' || {j('icu.present', 'uncertain')}",
+        "CAESAREAN_NO_ANESTHESIOLOGIST": f"'caesarean=' || {cs} || ', anesthesiologist=' || {an}", "MISSING_CRITICAL_FIELDS": "'Only ' || CAST(round(completeness * 6) AS INT) || '/6 core fields extracted'", "EMPTY_DESCRIPTION": "'raw_text_used is empty'",
+    }
+    grave, cites = " ".join(f"WHEN {q(k)} THEN {q(extraction.RULES[k][0])}" for k in says), " ".join(f"WHEN {q(k)} THEN {v}" for k, v in says.items())
+    return f"SELECT hospital_id, rule, CASE rule {grave} END AS severity, CASE rule {cites} END AS evidence FROM (SELECT *, unnest(flags) AS rule FROM conf)"
+
+
+def _verified() -> str:
+    all_of = lambda p, when: f"list_filter(CAST(json_extract(j, '$.{p}') AS JSON[]), lambda s: {when})"
+    get = lambda s, k: f"coalesce(json_extract_string({s}, '$.{k}'), '')"
+    spec, grave = all_of("verified_specialties", f"json_extract_string(s, '$.has') = 'true' AND list_contains({lst(vocab.MAJOR)}, json_extract_string(s, '$.specialty'))"), all_of("contradictions", "json_extract_string(s, '$.severity') IN ('high', 'medium')")
+    has_it = "json_extract_string(s, '$.has') = 'true'"
+    tools = f"array_to_string(list_transform({all_of('verified_equipment', has_it)}, lambda s: json_extract_string(s, '$.equipment')), ', ')"
+    row = lambda when, rule, delta, cite: f"CASE WHEN {when} THEN {{'rule': {rule}, 'delta': {delta}, 'evidence': {cite}}} END"
+    gaps = "CAST(json_extract(j, '$.completeness_flags.missing_fields') AS VARCHAR[])"
+    rows = ", ".join([
+        row("len(sp) > 0", "'Has major specialty: ' || " + get("sp[1]", "specialty"), 20, get("sp[1]", "evidence")), row("json_array_length(j, '$.verified_equipment') > 0", f"'Has equipment: ' || {tools}", 20, "coalesce(json_extract_string(j, '$.verified_equipment[0].evidence'), '')"),
+        row("json_extract_string(j, '$.staffing.model') <> 'unknown'", "'Staffing model documented: ' || json_extract_string(j, '$.staffing.model')", 20, "coalesce(json_extract_string(j, '$.staffing.evidence'), '')"),
+        row("len(gr) > 0", f"'Contradiction detected: ' || {get('gr[1]', 'claim')} || ' vs ' || {get('gr[1]', 'gap')}", -30, f"'Claim: ' || {get('gr[1]', 'evidence_claim')} || ' | Gap: ' || {get('gr[1]', 'evidence_gap')}"),
+        row("json_array_length(j, '$.completeness_flags.missing_fields') > 2", "'Incomplete data: >2 key fields missing'", -10, f"array_to_string({gaps}, ', ')"),
+    ])
+    return f"v AS (SELECT hospital_id, CAST(verified_json AS JSON) AS j FROM scored), w AS (SELECT *, {spec} AS sp, {grave} AS gr FROM v), b AS (SELECT hospital_id, unnest(list_filter([{rows}], lambda x: x IS NOT NULL)) AS b FROM w)"
+
+
+def _embedding() -> str:
+    j = lambda p, d: f"coalesce(json_extract_string(j, '$.{p}'), '{d}')"
+    return f"substr('Facility: ' || hospital_name || '. Location: ' || district || ', ' || state || ', PIN ' || pin_code || '. Type: ' || facility_type || '. Specialties: . ICU: ' || {j('icu.present', 'unknown')} || '. Emergency: ' || {j('emergency.emergency_care', 'unknown')} || '. Trust Score: ' || rule_trust || '. ' || substr({j('raw_text_used', '')}, 1, 300), 1, 2000)"
+
+
 ORACLES = {
     "canonical_facilities": with_("SELECT hospital_id, hospital_name, state, district, pin_code, specialties, equipment, procedure, capability, staff, facility_type, latitude, longitude FROM clean", upto="clean"),
     "facility_tags": with_("SELECT hospital_id, array_to_string(st, ', ') AS specialty_tags, array_to_string(et, ', ') AS equipment_tags, array_to_string(stf, ', ') AS specialty_tags_full, array_to_string(etf, ', ') AS equipment_tags_full FROM tagged", upto="tagged"),
@@ -210,11 +270,13 @@ ORACLES = {
     "state_counts": with_("SELECT state, count(*) AS k FROM clean GROUP BY state ORDER BY k DESC, state LIMIT 20", upto="clean"),
     "facility_coords": scored_with(COORDS, "SELECT hospital_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM fac"),
     "radius_join": scored_with(COORDS, f"SELECT pins.pin_code AS query_pin, hospital_id, round({km('pins.latitude', 'pins.longitude', 'lat', 'lon')}, 6) AS distance_km FROM pins, fac WHERE {km('pins.latitude', 'pins.longitude', 'lat', 'lon')} <= 150"),
-    "tokens": f"SELECT doc_id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM documents WHERE lang = 'en'",
-    "sentences": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, {shortest(sentences('text'), lst(['idiot', 'the', 'license']))} AS quote FROM documents WHERE lang = 'en'",
+    "tokens": f"SELECT doc_id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM documents",
+    "sentences": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, {shortest(sentences('text'), lst(['idiot', 'the', 'license']))} AS quote FROM documents",
     "bm25_topk": f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT query, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
-    "vector_topk": "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_inner_product(a.v, b.v) AS score FROM x a, x b WHERE a.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 200",
-    "minmax_rank": "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS hospital_id, list_inner_product(a.v, b.v) AS s FROM x a, x b WHERE a.vec_id < 10), m AS (SELECT *, (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) AS n FROM s WINDOW w AS (PARTITION BY query_id)), c AS (SELECT *, 0.5 * n + 0.2 * (hospital_id % 101) / 100.0 AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hospital_id) AS rank FROM c) SELECT query_id, hospital_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
+    "vector_topk": "WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_inner_product(a.v, b.v) AS score FROM x a, x b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, round(score, 6) AS score, rank FROM r WHERE rank <= 200",
+    "minmax_rank": f"""WITH {NEAREST}, k AS (SELECT near.query AS query_id, near.id AS hospital_id, s, (a.label = b.label)::INT::DOUBLE AS kw, 1 / (1 + abs(a.label - b.label)) AS loc, 1 / (1 + abs(CAST(b.embedding[1] AS DOUBLE))) AS tr FROM near JOIN embeddings a ON a.vec_id = near.query JOIN embeddings b ON b.vec_id = near.id),
+ m AS (SELECT *, CASE WHEN max(s) OVER w - min(s) OVER w < 1e-9 THEN (max(s) OVER w <> 0)::INT ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS n, CASE WHEN max(kw) OVER w - min(kw) OVER w < 1e-9 THEN (max(kw) OVER w <> 0)::INT ELSE (kw - min(kw) OVER w) / (max(kw) OVER w - min(kw) OVER w) END AS k FROM k WINDOW w AS (PARTITION BY query_id)),
+ c AS (SELECT *, round(CASE WHEN query_id // 50 % 2 = 1 THEN 0.7 * loc + 0.2 * tr + 0.1 * n ELSE 0.5 * n + 0.2 * k + 0.2 * tr + 0.1 * loc END, 9) AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hospital_id) AS rank FROM c) SELECT query_id, hospital_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
     "l2_normalize": "SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS norm, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))",
     "extraction_trust": scored_with(STATUS, "SELECT hospital_id, bad AS failed, array_to_string(flags, ',') AS flags, rule_trust, round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(overall, 6) AS overall, round(greatest(0, overall - 0.05 - 0.02 * len(flags)), 6) AS ci_low, CASE WHEN rule_trust >= 0.85 THEN 'A' WHEN rule_trust >= 0.7 THEN 'B' WHEN rule_trust >= 0.55 THEN 'C' WHEN rule_trust >= 0.4 THEN 'D' ELSE 'F' END AS grade FROM conf"),
     "verified_trust": scored_with("v AS (SELECT hospital_id, CAST(verified_json AS JSON) AS j FROM scored)", f"""SELECT hospital_id, CAST(greatest(0, least(100, 20 * (len(list_filter(CAST(json_extract(j, '$.verified_specialties') AS JSON[]), lambda s: json_extract_string(s, '$.has') = 'true' AND list_contains({lst(vocab.MAJOR)}, json_extract_string(s, '$.specialty')))) > 0)::INT + 20 * (json_array_length(j, '$.verified_equipment') > 0)::INT
@@ -226,5 +288,16 @@ ORACLES = {
     "desert_summary": scored_with(STATUS + ", m AS (SELECT * FROM pd ORDER BY risk DESC, pin_code, state LIMIT 100)", "SELECT count(*) AS total_regions, count_if(risk >= 0.7) AS high_risk_regions, round(count_if(risk >= 0.7) / count(*) * 100, 6) AS high_risk_percentage FROM m"),
     "needs_correction": scored_with(STATUS, "SELECT hospital_id, rule_trust, length(notes) AS note_length FROM conf WHERE rule_trust < 0.65"),
     "merge_updates": scored_with(STATUS, "SELECT hospital_id, CASE WHEN rule_trust < 0.65 THEN least(1.0, round(rule_trust + 0.1, 3)) ELSE rule_trust END AS rule_trust, CASE WHEN rule_trust < 0.65 THEN 1 ELSE 0 END AS correction_iterations FROM conf"),
+    "parsed_queries": f"WITH {_parsed(f'SELECT c_custkey AS query_id, {fixture.asked_columns(False)} AS query FROM customer')} SELECT query_id, q AS raw_query, state, pin, radius_km, array_to_string(specialties, ',') AS specialties, array_to_string(requirements, ',') AS requirements, sort FROM parsed",
+    "search_candidates": scored_with(COORDS + ", " + _candidates(), "SELECT query_id, hospital_id, round(km, 6) AS distance_km, round(location, 6) AS location FROM cand"),
+    "nonempty_facilities": with_("SELECT hospital_id, CASE WHEN hospital_id % 2 = 0 THEN '' ELSE hospital_name END AS hospital_name FROM clean WHERE hospital_id % 2 <> 0 OR specialties <> '' OR notes <> '' OR equipment <> '' OR procedure <> '' OR capability <> ''", upto="clean"),
+    "facility_ids": with_("SELECT state, hospital_name, hospital_id AS old_id, row_number() OVER (ORDER BY state, hospital_name, hospital_id) - 1 AS hospital_id FROM clean", upto="clean"),
+    "bronze": with_("SELECT hospital_id, sha256(hospital_name) AS facility_id, true AS stamped FROM clean", upto="clean"),
+    "geo_export": scored_with(COORDS, """SELECT '{"hospital_id":' || hospital_id || ',"latitude":' || round(lat, 4) || ',"longitude":' || round(lon, 4) || '}' AS record FROM fac WHERE lat IS NOT NULL AND lon IS NOT NULL"""),
+    "facility_records": scored_with(COORDS, "SELECT hospital_id, hospital_name, trust_score, round(lat, 6) AS lat, array_to_string(stf, ',') AS tags FROM fac WHERE hospital_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)"),
+    "vector_rerank": scored_with(NEAREST, "SELECT query AS query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS INT) AS rank, id AS hospital_id, round(s, 6) AS semantic, trust_score FROM near JOIN scored ON scored.hospital_id = near.id WHERE trust_score >= 30 AND lower(facility_type) = 'hospital' QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 20"),
+    "trust_evidence": scored_with(STATUS, _evidence()),
+    "verified_evidence": scored_with(_verified(), "SELECT hospital_id, b.rule AS rule, CAST(b.delta AS INT) AS delta, b.evidence AS evidence FROM b"),
+    "gold_records": scored_with(STATUS, f"SELECT hospital_id, rule_trust, {_embedding()} AS embedding_text, 0 AS correction_iterations, '1.0' AS extraction_version FROM conf WHERE NOT bad"),
     "export_geo": scored_with(COORDS, "SELECT count(*) AS records FROM fac WHERE lat IS NOT NULL AND lon IS NOT NULL"),
 }

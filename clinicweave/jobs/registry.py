@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vocab
 from ..operators import bm25, extraction, geo, queries, scoring, search, stats, vectors
 from ..sources import tables
 from . import fixture
@@ -122,16 +122,12 @@ def radius_join(spark, sf_dir):
     return _rounded(geo.radius_join(asked, located(spark, sf_dir).select("hospital_id", "lat", "lon")).select("query_pin", "hospital_id", "distance_km"), "distance_km")
 
 
-def _english(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").where("lang = 'en'")
-
-
 def tokens(spark, sf_dir):
-    return _english(spark, sf_dir).select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("tokens"))
 
 
 def sentences(spark, sf_dir):
-    found = _english(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s"))
+    found = _read(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), text.shortest_with(F.col("s"), text.strings(["idiot", "the", "license"])).alias("quote"))
 
 
@@ -144,7 +140,7 @@ def bm25_topk(spark, sf_dir):
 
 def _similar(spark, sf_dir, k):
     vecs = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return vectors.vector_topk(vecs.where("id < 10").select(F.col("id").alias("query"), "vec"), vecs, k)
+    return vectors.vector_topk(vecs.where("id % 50 = 0").select(F.col("id").alias("query"), "vec"), vecs, k)
 
 
 def vector_topk(spark, sf_dir):
@@ -152,12 +148,13 @@ def vector_topk(spark, sf_dir):
 
 
 def minmax_rank(spark, sf_dir):
-    vecs = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("hospital_id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = F.broadcast(vecs.where("hospital_id < 10").select(F.col("hospital_id").alias("query_id"), F.col("v").alias("q")))  # ten stated queries
-    product = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = vecs.crossJoin(asked).select("query_id", "hospital_id", product.alias("semantic"))
-    rows = search.minmax(pairs, ["semantic"]).withColumns({"keyword": F.lit(0.0), "location": F.lit(0.0), "trust": (F.col("hospital_id") % 101) / 100.0})
-    return _rounded(search.top_k(rows.withColumn("score", search.combined(F.lit(False))), 10).select("query_id", "hospital_id", "score", "rank"), "score")
+    """Both weightings over the 200 nearest of each query: even queries by relevance, odd ones by urgency; signals from labels and vectors."""
+    vecs = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>")[0].alias("x"))
+    one, two = vecs.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), vecs.select(F.col("vec_id").alias("hospital_id"), "label", "x")
+    pairs = _similar(spark, sf_dir, 200).select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("semantic")).join(one, "query_id").join(two, "hospital_id")
+    rows = pairs.withColumns({"keyword": (F.col("label") == F.col("q_label")).cast("double"), "location": 1 / (1 + F.abs(F.col("label") - F.col("q_label"))), "trust": 1 / (1 + F.abs("x"))})
+    rows = search.minmax(rows, ["semantic", "keyword"]).withColumn("score", F.round(search.combined((F.col("query_id") / 50).cast("long") % 2 == 1), 9))
+    return _rounded(search.top_k(rows, 10).select("query_id", "hospital_id", "score", "rank"), "score")
 
 
 def l2_normalize(spark, sf_dir):
@@ -218,13 +215,87 @@ def export_geo(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """The fixed queries over all facilities; parsed, filtered, ranked and explained."""
     asked = queries.parse_queries(spark.sql(fixture.queries_sql())).select("query_id", "state", "pin", "radius_km", "specialties", "requirements", "sort", "raw_query")
-    index = located(spark, sf_dir).persist()  # several signals read the index
-    semantic = search.semantic_scores(asked, index, vectors.SvdEncoder.learn(index, "hospital_id", "search_text")).persist()  # scaling reads it twice
+    asked = tables.stage(asked, "parsed")
+    index = tables.stage(located(spark, sf_dir), "index")  # several signals read it
+    semantic = tables.stage(search.semantic_scores(asked, index, vectors.SvdEncoder.learn(index, "hospital_id", "search_text")), "semantic")  # scaling reads it twice
     return search.hybrid_search(asked, index, geo.centroids(pins(spark)), semantic=semantic)
 
 
 def tfidf_features(spark, sf_dir):
-    return _rounded(vectors.tfidf(_read(spark, sf_dir, "documents"), "doc_id", "text"), "weight")
+    return _rounded(vectors.tfidf(_read(spark, sf_dir, "documents"), "doc_id", "text", stop=vocab.ENGLISH), "weight")
+
+
+def parsed_queries(spark, sf_dir):
+    """A query text of each customer, parsed."""
+    asked = _read(spark, sf_dir, "customer").selectExpr("c_custkey as query_id", f"{fixture.asked_columns(True)} as query")
+    tags = lambda c: F.array_join(c, ",").alias(c)
+    return queries.parse_queries(asked).select("query_id", "raw_query", "state", "pin", "radius_km", tags("specialties"), tags("requirements"), "sort")
+
+
+def search_candidates(spark, sf_dir):
+    """The candidates of each fixed query, with their distance and location score."""
+    asked = tables.stage(queries.parse_queries(spark.sql(fixture.queries_sql())), "parsed")
+    q = geo.pin_coords(asked, geo.centroids(pins(spark)), "pin", "_at").select("query_id", "state", "radius_km", F.col("_at.lat").alias("q_lat"), F.col("_at.lon").alias("q_lon"))
+    rows = tables.stage(located(spark, sf_dir).select("hospital_id", "state", "district", "lat", "lon"), "places")
+    pairs = search.filter_candidates(q, rows).join(q.withColumnRenamed("state", "q_state"), "query_id").join(rows, "hospital_id").withColumn("at", geo.location_score())
+    return _rounded(pairs.select("query_id", "hospital_id", F.col("at.km").alias("distance_km"), F.col("at.score").alias("location")), "distance_km", "location")
+
+
+def nonempty_facilities(spark, sf_dir):
+    """Facilities of which some are blanked, without the rows that say nothing."""
+    said = ("hospital_name", "specialties", "notes", "equipment", "procedure", "capability")
+    blank = {c: F.when(F.col("hospital_id") % (2 + k) == 0, "").otherwise(F.col(c)) for k, c in enumerate(said[:1])}
+    return tables.drop_empty_rows(facilities(spark, sf_dir).withColumns(blank)).select("hospital_id", "hospital_name")
+
+
+def facility_ids(spark, sf_dir):
+    """Dense ids in order of state and name."""
+    rows = facilities(spark, sf_dir).select("state", "hospital_name", F.col("hospital_id").alias("old_id"))
+    return tables.assign_ids(rows, ["state", "hospital_name", "old_id"])
+
+
+def bronze(spark, sf_dir):
+    return tables.ingest_bronze(facilities(spark, sf_dir)).select("hospital_id", "facility_id", F.col("_ingest_ts").isNotNull().alias("stamped"))
+
+
+def geo_export(spark, sf_dir):
+    """The records that an export holds, read back as text."""
+    rows = located(spark, sf_dir).select("hospital_id", F.round("lat", 4).alias("latitude"), F.round("lon", 4).alias("longitude"))
+    return tables.geo_records(rows)
+
+
+def facility_records(spark, sf_dir):
+    """Single records: of the customers of each tenth supplier key that is one."""
+    asked = _read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("hospital_id"))
+    return search.get_facility(located(spark, sf_dir), asked).select("hospital_id", "hospital_name", "trust_score", F.round("lat", 6).alias("lat"), F.array_join("specialty_tags_full", ",").alias("tags"))
+
+
+def vector_rerank(spark, sf_dir):
+    """Nearest vectors as facilities: refreshed from the scored table, filtered by trust and type, best 20."""
+    found = _similar(spark, sf_dir, 200).select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("semantic"))
+    gold_table = tables.stage(scored(spark, sf_dir).select("hospital_id", "trust_score", "state", "facility_type"), "scored")
+    return _rounded(search.filter_then_rank(found, gold_table, 30, kind="hospital"), "semantic")
+
+
+def trust_evidence(spark, sf_dir):
+    """What the rules of extracted records cite."""
+    flags = gold(spark, sf_dir).select("hospital_id", F.explode("flags").alias("f"))
+    return flags.select("hospital_id", "f.rule", "f.severity", "f.evidence")
+
+
+def verified_evidence(spark, sf_dir):
+    """What the rules of verified records cite."""
+    rows = extraction.verified_trust(facilities(spark, sf_dir)).select("hospital_id", F.explode("verified_breakdown").alias("b"))
+    return rows.select("hospital_id", "b.rule", "b.delta", "b.evidence")
+
+
+def gold_records(spark, sf_dir):
+    """Gold assembled from extractions and facilities, with the embedding text."""
+    rows = facilities(spark, sf_dir).withColumn("facility_id", F.sha2(F.col("hospital_name"), 256))
+    silver = rows.select("facility_id", "extraction_json")
+    base = rows.select("facility_id", "hospital_id", "hospital_name", "district", "state", "pin_code", "facility_type", F.length("notes").alias("text_length"))
+    found = extraction.assemble_gold(silver, base)
+    return found.select("hospital_id", "rule_trust", "embedding_text", "correction_iterations", "extraction_version")
 
 
 def svd_embed(spark, sf_dir):
@@ -239,5 +310,6 @@ QUERIES = {
         state_deserts, canonical_facilities, facility_tags, trust_scores, trust_breakdown, search_text, worst_state, overview, specialty_state_counts, specialty_summary, specialty_matrix, heatmap,
         flagged_contradictions, flagged_search, quality_report, state_counts, facility_coords, radius_join, tokens, sentences, bm25_topk, vector_topk, minmax_rank, l2_normalize, extraction_trust,
         verified_trust, extraction_status, pin_deserts, state_risk_rollup, desert_map, desert_summary, needs_correction, merge_updates, export_geo, hybrid_search, tfidf_features, svd_embed,
+        parsed_queries, search_candidates, nonempty_facilities, facility_ids, bronze, geo_export, facility_records, vector_rerank, trust_evidence, verified_evidence, gold_records,
     )
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 
+# Fields of extracted and of verified records.
 SCHEMA = """icu struct<present:string,functional_status:string,bed_count:int,neonatal_icu:string,source_text:string>,
 ventilator struct<present:string,count:int,reliability_note:string,source_text:string>,
 staff struct<anesthesiologist:string,surgeon:string,general_physician:string,specialist_types:array<string>,total_doctor_count:int,source_text:string>,
@@ -51,7 +52,7 @@ def populated() -> Column:
 
 
 def rule_trust(df: DataFrame, type_col: str = "facility_type") -> DataFrame:
-    """Adds flags (rule, severity, penalty) and rule_trust: 1 less the penalties, between 0.05 and 1."""
+    """Adds flags (rule, severity, penalty, evidence) and rule_trust: 1 less the penalties, between 0.05 and 1."""
     icu, vent, an = _get("icu.present", "uncertain"), _get("ventilator.present", "not_present"), _get("staff.anesthesiologist", "unknown")
     gp, surgeon = _get("staff.general_physician", "unknown"), _get("staff.surgeon", "unknown")
     general, caesarean, cardiac = (_get(f"surgery.{k}", "uncertain") for k in ("general_surgery", "caesarean", "cardiac"))
@@ -68,7 +69,15 @@ def rule_trust(df: DataFrame, type_col: str = "facility_type") -> DataFrame:
         "MISSING_CRITICAL_FIELDS": populated() < 3,
         "EMPTY_DESCRIPTION": text.strip(_get("raw_text_used", "")) == "",
     }
-    items = F.array(*(F.when(when, F.struct(F.lit(k).alias("rule"), F.lit(RULES[k][0]).alias("severity"), F.lit(RULES[k][1]).alias("penalty"))) for k, when in fired.items()))
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+    # What a rule cites.
+    cited = {
+        "SURGERY_NO_ANESTHESIOLOGIST": said("surgery=", general, ", caesarean=", caesarean, ", anesthesiologist=", an), "ICU_NON_FUNCTIONAL": said("icu.present=", icu, ", icu.functional_status=", _get("icu.functional_status", "unknown")),
+        "ICU_NO_BEDS": said("ICU confirmed but bed_count=null"), "24_7_NO_STAFF": said("is_24_7=true but GP=", gp, ", surgeon=", surgeon), "CARDIAC_SURGERY_RURAL_CLINIC": said("cardiac=", cardiac, ", facility_type=", F.col(type_col)),
+        "ZERO_DOCTORS_MANY_SPECIALTIES": said("total_doctors=0, specialist_types_count=", F.size("x.staff.specialist_types")), "VENTILATOR_NO_ICU": said("ventilator=", vent, ", icu=", icu),
+        "CAESAREAN_NO_ANESTHESIOLOGIST": said("caesarean=", caesarean, ", anesthesiologist=", an), "MISSING_CRITICAL_FIELDS": said("Only ", populated(), "/6 core fields extracted"), "EMPTY_DESCRIPTION": said("raw_text_used is empty"),
+    }
+    items = F.array(*(F.when(when, F.struct(F.lit(k).alias("rule"), F.lit(RULES[k][0]).alias("severity"), F.lit(RULES[k][1]).alias("penalty"), cited[k].alias("evidence"))) for k, when in fired.items()))
     df = df.withColumn("flags", F.array_compact(items))
     left = F.aggregate("flags", F.lit(1.0), lambda a, f: a - f["penalty"])
     return df.withColumn("rule_trust", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), left)), 3))
@@ -92,13 +101,40 @@ def grade(c: Column) -> Column:
 
 
 def verified_trust(df: DataFrame, json_col: str = "verified_json") -> DataFrame:
-    """Adds verified_score from a verified record: major specialty, equipment, staffing, contradiction, gaps."""
+    """Adds verified_score and verified_breakdown (rule, delta, evidence) from a verified record.
+
+    What counts: a major specialty, equipment, staffing, the first grave contradiction, and gaps.
+    """
     v = F.from_json(json_col, VERIFIED)
     major = F.exists(v["verified_specialties"], lambda s: s["has"] & s["specialty"].isin(*vocab.MAJOR))
     clash = F.exists(v["contradictions"], lambda c: c["severity"].isin("high", "medium"))
     n = lambda c, by: F.coalesce(c, F.lit(False)).cast("int") * by
     total = n(major, 20) + n(F.size(v["verified_equipment"]) > 0, 20) + n(v["staffing"]["model"] != "unknown", 20) - n(clash, 30) - n(F.size(v["completeness_flags"]["missing_fields"]) > 2, 10)
-    return df.withColumn("verified_score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
+    first = lambda c, when: F.try_element_at(F.filter(c, when), F.lit(1))
+    spec = first(v["verified_specialties"], lambda s: s["has"] & s["specialty"].isin(*vocab.MAJOR))
+    grave = first(v["contradictions"], lambda c: c["severity"].isin("high", "medium"))
+    tools = F.array_join(F.transform(F.filter(v["verified_equipment"], lambda e: e["has"]), lambda e: e["equipment"]), ", ")
+    gaps, text_of = v["completeness_flags"]["missing_fields"], lambda c: F.coalesce(c, F.lit(""))
+    item = lambda when, rule, delta, cite: F.when(when, F.struct(rule.alias("rule"), F.lit(delta).alias("delta"), text_of(cite).alias("evidence")))
+    # The wording of the rules.
+    rows = F.array(
+        item(major, F.concat(F.lit("Has major specialty: "), spec["specialty"]), 20, spec["evidence"]), item(F.size(v["verified_equipment"]) > 0, F.concat(F.lit("Has equipment: "), tools), 20, v["verified_equipment"][0]["evidence"]),
+        item(v["staffing"]["model"] != "unknown", F.concat(F.lit("Staffing model documented: "), v["staffing"]["model"]), 20, v["staffing"]["evidence"]),
+        item(clash, F.concat(F.lit("Contradiction detected: "), text_of(grave["claim"]), F.lit(" vs "), text_of(grave["gap"])), -30, F.concat(F.lit("Claim: "), text_of(grave["evidence_claim"]), F.lit(" | Gap: "), text_of(grave["evidence_gap"]))),
+        item(F.size(gaps) > 2, F.lit("Incomplete data: >2 key fields missing"), -10, F.array_join(gaps, ", ")),
+    )
+    return df.withColumns({"verified_score": F.greatest(F.lit(0), F.least(F.lit(100), total)), "verified_breakdown": F.array_compact(rows)})
+
+
+def embedding_text(name: str = "hospital_name", state: str = "state", district: str = "district", pin: str = "pin_code", kind: str = "facility_type") -> Column:
+    """What a facility is searched by: place, type, extracted specialties and status, trust, the start of its text; 2000 characters at most."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    # The wording of the sentence.
+    return F.substring(F.concat(
+        F.lit("Facility: "), of(name), F.lit(". Location: "), of(district), F.lit(", "), of(state), F.lit(", PIN "), of(pin), F.lit(". Type: "), of(kind), F.lit(". Specialties: "),
+        F.coalesce(F.array_join("x.specialties_extracted", ", "), F.lit("")), F.lit(". ICU: "), _get("icu.present", "unknown"), F.lit(". Emergency: "), _get("emergency.emergency_care", "unknown"),
+        F.lit(". Trust Score: "), of("rule_trust"), F.lit(". "), F.substring(_get("raw_text_used", ""), 1, 300),
+    ), 1, 2000)
 
 
 def status(df: DataFrame) -> DataFrame:
@@ -136,8 +172,14 @@ def desert_summary(regions: DataFrame) -> DataFrame:
 
 
 def assemble_gold(silver: DataFrame, bronze: DataFrame, key: str = "facility_id") -> DataFrame:
-    """Extractions beside their texts; of facilities that share an id, one text."""
-    return confidence(rule_trust(parse(silver.join(bronze.dropDuplicates([key]), key, "left"))))
+    """Extractions beside their facilities, scored and with their embedding text; of facilities that share an id, the first by its columns.
+
+    Records that are no JSON object have no row.
+    """
+    rest = [c for c in bronze.columns if c != key]
+    one = bronze.groupBy(key).agg(F.min(F.struct(*rest)).alias("b")).select(key, "b.*")
+    rows = confidence(rule_trust(parse(silver.join(one, key, "left")).where("parse_error is null")))
+    return rows.withColumns({"embedding_text": embedding_text(), "correction_iterations": F.lit(0), "extraction_version": F.lit("1.0")})
 
 
 def needs_correction(gold: DataFrame, bronze: DataFrame, below: float = 0.65, key: str = "facility_id") -> DataFrame:

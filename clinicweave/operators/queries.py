@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 
+# What makes a query urgent, and how a distance is written.
 URGENT = r"\b(urgent|urgently|emergency|nearest|nearby|24/7|24x7|round the clock|asap|immediately)\b"
 _KM = r"(\d+)\s*(?:km|kms|kilometers|kilometres)\b"
 

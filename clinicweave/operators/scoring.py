@@ -28,11 +28,6 @@ def composite_text() -> Column:
     return F.concat_ws(" | ", "hospital_name", "notes", "specialties", "procedure", "equipment", "capability")
 
 
-def embedding_text(state: str = "state", district: str = "district", kind: str = "facility_type") -> Column:
-    """A sentence that sums a facility up, cut to 2000 characters."""
-    return F.substring(F.concat(F.coalesce(kind, F.lit("facility")), F.lit(" in "), F.coalesce(district, F.lit("")), F.lit(", "), F.coalesce(state, F.lit("")), F.lit(". Specialties: "), F.array_join("specialty_tags_full", ", "), F.lit(". Trust: "), F.col("trust_score").cast("string"), F.lit(". "), F.substring(composite_text(), 1, 300)), 1, 2000)
-
-
 def has_staff() -> Column:
     fields = [text.strip(F.coalesce(F.col(c), F.lit(""))) for c in ("staff", "notes", "capability")]
     blob = F.lower(F.concat_ws(" ", *fields))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import tables
 from . import bm25, geo, scoring, vectors
 
 # Weights of the signals, for relevance and for urgent queries.
@@ -25,12 +26,14 @@ def filter_candidates(queries: DataFrame, facilities: DataFrame) -> DataFrame:
     named = q.where(~circle & F.col("want").isNotNull()).join(f, F.col("want") == F.col("have")).select("query_id", "hospital_id")
     found = near.union(named)
     rest = q.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.union(F.broadcast(rest).crossJoin(f.select("hospital_id")).select("query_id", "hospital_id"))  # a stated batch of queries
+    rest = tables.stage(rest, "rest")
+    return found.union(tables.fits(rest, 16)(rest).crossJoin(f.select("hospital_id")).select("query_id", "hospital_id"))  # a stated batch of queries, each ranked over all
 
 
-def minmax(df: DataFrame, columns: list[str], by: str = "query_id") -> DataFrame:
-    """Each column scaled to 0..1 within a query; all equal: 0 if the largest is 0, else 1."""
-    ends = df.groupBy(by).agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)))
+def minmax(df: DataFrame, columns: list[str], by: str = "query_id", counted: str | None = None) -> DataFrame:
+    """Each column scaled to 0..1 within a query; all equal: 0 if the largest is 0, else 1. `counted`: a column of its rows."""
+    more = [F.count(F.lit(1)).alias(counted)] if counted else []
+    ends = df.groupBy(by).agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)), *more)
     df = df.join(ends, by)
     for c in columns:
         lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")
@@ -60,6 +63,7 @@ def pretty(c: Column) -> Column:
 
 
 def explanation() -> Column:
+    # The wording of the parts.
     place = F.array_join(F.filter(F.array("district", "f_state"), lambda x: F.coalesce(x, F.lit("")) != ""), ", ")
     km = F.format_string("%.1f km away", "distance_km")
     where = F.when((place != "") & F.col("distance_km").isNotNull(), F.concat(F.lit("in "), place, F.lit(", "), km)).when(place != "", F.concat(F.lit("in "), place)).when(F.col("distance_km").isNotNull(), km)
@@ -88,13 +92,18 @@ def hybrid_search(queries: DataFrame, facilities: DataFrame, pins: DataFrame, k:
     if semantic is None:
         semantic = pairs.select("query_id", "hospital_id", F.lit(0.0).alias("semantic")).limit(0)
     asked = q.select("query_id", F.col("state").alias("q_state"), "q_lat", "q_lon", "radius_km", "specialties", "requirements", "sort")
-    fac = facilities.select("hospital_id", "state", "district", "lat", "lon", "trust_score", "specialty_tags", "specialty_tags_full", "equipment_tags_full")
+    fac = facilities.select("hospital_id", "state", "district", "lat", "lon", "trust_score")
     rows = pairs.join(keyword, ["query_id", "hospital_id"], "left").join(semantic, ["query_id", "hospital_id"], "left").fillna(0.0, ["keyword", "semantic"])
-    rows = rows.join(F.broadcast(asked), "query_id").join(fac, "hospital_id").withColumn("_loc", geo.location_score())
+    rows = rows.join(tables.fits(queries, 400)(asked), "query_id").join(fac, "hospital_id").withColumn("_loc", geo.location_score())
     rows = rows.withColumns({"location": F.col("_loc.score"), "distance_km": F.col("_loc.km"), "trust": F.col("trust_score") / 100.0}).drop("_loc")
-    rows = minmax(rows, ["semantic", "keyword"]).withColumn("score", combined(F.col("sort") == "distance"))
-    best = top_k(rows, k).withColumnRenamed("state", "f_state").withColumn("matched", matched_features())
-    return best.withColumn("explanation", explanation()).select("query_id", "rank", "hospital_id", "score", "semantic", "keyword", "trust", "location", "distance_km", "matched", "explanation")
+    rows = minmax(rows, ["semantic", "keyword"], counted="total_candidates").withColumn("score", combined(F.col("sort") == "distance"))
+    best = tables.stage(top_k(rows, k).withColumnRenamed("state", "f_state"), "best")
+    more = facilities.select("hospital_id", "hospital_name", "pin_code", "specialty_tags", "specialty_tags_full", "equipment_tags_full", "trust_breakdown")
+    best = more.join(tables.fits(best, 400)(best), "hospital_id").withColumn("matched", matched_features())  # k rows a query
+    return best.withColumn("explanation", explanation()).select(
+        "query_id", "rank", "hospital_id", "hospital_name", "score", "semantic", "keyword", "trust", "location", "total_candidates", "trust_score", "trust_breakdown",
+        F.col("f_state").alias("state"), "district", "pin_code", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "distance_km", "matched", "explanation",
+    )
 
 
 def get_facility(facilities: DataFrame, ids: DataFrame) -> DataFrame:

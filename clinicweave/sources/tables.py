@@ -1,7 +1,11 @@
-"""Reading, resolving and writing facility tables."""
+"""Reading, resolving and writing facility tables; tables that jobs keep for a while."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +13,33 @@ from pyspark.sql import types as T
 from ..functions import text, vocab
 
 
+BROADCAST_BYTES = 32_000_000  # what may be broadcast at most
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder, `spark.checkpoint.dir`, and read it back; a session on one machine may lack it."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clinicweave-"))
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fits(df: DataFrame, row_bytes: int) -> Callable[[DataFrame], DataFrame]:
+    """`broadcast` for tables of no more rows than `df`, if these fit in BROADCAST_BYTES; else what leaves them to a shuffle."""
+    return F.broadcast if df.count() * row_bytes <= BROADCAST_BYTES else lambda x: x
+
+
 def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     """A facility CSV with every column as text; only an empty value is null."""
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("nullValue", "").csv(path)

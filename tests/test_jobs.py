@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clinicweave.functions import vocab
+from clinicweave.functions import text, vocab
 from clinicweave.jobs import registry
-from clinicweave.operators import extraction, geo, queries, scoring, search, stats, vectors
+from clinicweave.operators import bm25, extraction, geo, queries, scoring, search, stats, vectors
 from clinicweave.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -55,7 +55,7 @@ def test_index_round_trip(spark, tmp_path):
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("nearest ICU hospital in Bihar with oxygen", ("Bihar", None, 30.0, ["icu"], ["oxygen"], "distance")),
+        ("closest ICU in Bihar that has oxygen, urgent", ("Bihar", None, 30.0, ["icu"], ["oxygen"], "distance")),
         ("dialysis near 800001 within 50 km", (None, "800001", 50.0, ["dialysis"], [], "distance")),
         ("cardiology in UP", ("Uttar Pradesh", None, None, ["cardiology"], [], "relevance")),
         ("icu or trauma", ("Odisha", None, None, ["icu", "trauma"], [], "relevance")),
@@ -183,3 +183,80 @@ def test_vector_topk_in_blocks_equals_brute_force(spark):
     want = {q: [(n + 1, int(i), float(s[q, i])) for n, i in enumerate(np.lexsort((np.arange(90), -s[q]))[:5])] for q in range(0, 90, 3)}
     assert {q: sorted(v) for q, v in got.items()} == want
     assert vectors.vector_topk(vecs.where("false").withColumnRenamed("id", "query"), vecs).count() == 0
+
+
+def test_csv_and_bronze(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('Hospital_Name,state,Notes\n"A ""x"" clinic",Goa,"two\nlines"\n,,\nB,,\n')
+    rows = tables.drop_empty_rows(tables.resolve_columns(tables.read_facilities(spark, str(path))))
+    assert sorted((r.hospital_name, r.notes) for r in rows.collect()) == [('A "x" clinic', "two\nlines"), ("B", "")]
+    r = tables.ingest_bronze(rows).where("hospital_name = 'B'").first()
+    assert r.facility_id == "df7e70e5021544f4834bbee64a9e3789febc4be81470df629cad6ddb03320a5c" and r._ingest_ts is not None
+
+
+def test_bm25_index_is_kept(spark, tmp_path):
+    texts = {1: ["a", "b", "a"], 2: ["b"], 3: [], 4: ["c", "a"]}
+    docs = spark.createDataFrame(list(texts.items()), "id long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["a", "a", "zz"]), (2, []), (3, ["c", "b"])], "query_id long, tokens array<string>")
+    assert bm25.read_index(spark, str(tmp_path / "none")) is None
+    index = bm25.write_index(docs, "id", str(tmp_path / "index"))
+    found = [{(r["query"], r["id"]): round(r["score"], 9) for r in x.collect()} for x in (bm25.scores(asked, docs, "id"), bm25.scores(asked, None, "id", index=index), bm25.scores(asked, None, "id", index=bm25.read_index(spark, str(tmp_path / "index"))))]
+    df = Counter(t for ts in texts.values() for t in set(ts))
+    raw = {t: math.log(4 - k + 0.5) - math.log(k + 0.5) for t, k in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    mean = sum(map(len, texts.values())) / 4
+    want = {}
+    for q, ts in ((1, ["a", "a", "zz"]), (3, ["c", "b"])):
+        for i, words in texts.items():
+            if set(ts) & set(words):
+                want[q, i] = round(sum(idf[t] * words.count(t) * 2.5 / (words.count(t) + 1.5 * (0.25 + 0.75 * len(words) / mean)) for t in ts if t in words), 9)
+    assert found[0] == found[1] == found[2] == want
+
+
+def test_hybrid_search_brute_force(spark):
+    """Scaling, weights, ranks, candidates and explanations, from the signals themselves."""
+    rows = [
+        (1, "One", "Bihar", "Patna", "800001", 25.6, 85.1, 80, ["icu"], ["icu"], ["oxygen"], "icu oxygen"), (2, "Two", "Bihar", "", "", 25.7, 85.2, 40, [], ["icu", "trauma"], [], "icu icu ward"),
+        (3, "Three", "Goa", "Panaji", "", None, None, 55, ["dentistry"], ["dentistry"], [], "dental"), (4, "Four", "Bihar", "Gaya", "", 10.0, 70.0, 80, [], [], [], "nothing here"),
+    ]
+    kinds = "hospital_id long, hospital_name string, state string, district string, pin_code string, lat double, lon double, trust_score int, specialty_tags array<string>, specialty_tags_full array<string>, equipment_tags_full array<string>, search_text string"
+    fac = spark.createDataFrame(rows, kinds).withColumn("trust_breakdown", F.expr("array(named_struct('rule', hospital_name, 'delta', 1))"))
+    pins = geo.centroids(spark.createDataFrame([("800001", "Bihar", "Patna", 25.61, 85.14)], "pin_code string, state string, district string, latitude double, longitude double"))
+    asked = queries.parse_queries(spark.createDataFrame([(0, "urgent icu with oxygen near 800001"), (1, "dental care"), (2, "icu in bihar")], "query_id int, query string"))
+    semantic = {(0, 1): 0.5, (0, 2): 0.1, (1, 3): 0.9, (2, 1): 0.3, (2, 2): 0.3, (2, 4): 0.3}
+    got = search.hybrid_search(asked, fac, pins, semantic=spark.createDataFrame([(*k, v) for k, v in semantic.items()], "query_id int, hospital_id long, semantic double")).collect()
+    kw = {(r["query"], r["id"]): r["score"] for r in bm25.scores(asked.select("query_id", text.tokens(F.col("raw_query")).alias("tokens")), fac.select("hospital_id", text.tokens(F.col("search_text")).alias("tokens")), "hospital_id").collect()}
+    near = {0: [1, 2], 1: [1, 2, 3, 4], 2: [1, 2, 4]}  # by radius; all, since nothing names a place; by state
+    scale = lambda xs: [(0.0 if max(xs) == 0 else 1.0) if max(xs) - min(xs) < 1e-9 else (x - min(xs)) / (max(xs) - min(xs)) for x in xs]
+    for q, ids in near.items():
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(ids) + 1)) and all(r.total_candidates == len(ids) for r in mine)
+        s, k = scale([semantic.get((q, i), 0.0) for i in ids]), scale([kw.get((q, i), 0.0) for i in ids])
+        want = {}
+        for i, a, b in zip(ids, s, k):
+            r = next(r for r in mine if r.hospital_id == i)
+            weights = (0.1, 0.0, 0.2, 0.7) if q == 0 else (0.5, 0.2, 0.2, 0.1)
+            want[i] = sum(w * x for w, x in zip(weights, (a, b, rows[i - 1][7] / 100, r.location)))
+            assert abs(r.score - want[i]) < 1e-9 and abs(r.semantic - a) < 1e-9 and abs(r.keyword - b) < 1e-9 and r.hospital_name == rows[i - 1][1] == r.trust_breakdown[0].rule
+        assert [r.hospital_id for r in mine] == sorted(ids, key=lambda i: (-want[i], i))
+    best = next(r for r in got if r.query_id == 0 and r.hospital_id == 1)
+    assert best.matched == ["icu", "oxygen"] and best.latitude == 25.6 and 0 < best.location < 1
+    assert best.explanation == f"Matches ICU, Oxygen. in Patna, Bihar, {best.distance_km:.1f} km away. trust 80/100 (strong). ranked for urgency / proximity."
+    by_name = {r.hospital_id: r for r in got if r.query_id == 2}
+    assert by_name[1].location == 1.0 and by_name[1].distance_km is None and by_name[2].explanation == "Matches ICU. in Bihar. trust 40/100 (low - data gaps)."
+    assert by_name[4].explanation == "Semantic match on free-text notes. in Gaya, Bihar. trust 80/100 (strong)."
+
+
+def test_gold_takes_one_text_of_an_id(spark):
+    silver = spark.createDataFrame([("f", '{"icu":{"present":"claimed"},"specialties_extracted":["icu","eye"],"raw_text_used":"long text"}'), ("g", "no json")], "facility_id string, extraction_json string")
+    base = spark.createDataFrame([("f", "B", "d", "s", "1", "clinic", 10), ("f", "A", "d", "s", None, "clinic", 20), ("g", "C", "", "", "", "", 1)], "facility_id string, hospital_name string, district string, state string, pin_code string, facility_type string, text_length int")
+    (r,) = extraction.assemble_gold(silver, base).collect()
+    assert r.hospital_name == "A" and r.embedding_text == f"Facility: A. Location: d, s, PIN None. Type: clinic. Specialties: icu, eye. ICU: claimed. Emergency: unknown. Trust Score: {r.rule_trust}. long text"
+    assert {f.evidence for f in r.flags if f.rule == "MISSING_CRITICAL_FIELDS"} == {"Only 2/6 core fields extracted"}
+
+
+def test_tokens_and_sentences_by_hand(spark):
+    df = spark.createDataFrame([("Éle an ICU-bed, the Ünit\u000b12! Bien sûr? Oui | nön",)], "t string")
+    r = df.select(text.tokens(F.col("t")).alias("a"), text.sentences(F.col("t")).alias("b")).first()
+    assert r.a == [w for w in re.sub(r"[^a-z0-9\s]", " ", "éle an icu-bed, the ünit\u000b12! bien sûr? oui | nön").split() if w not in vocab.STOPWORDS]
+    assert r.b == ["Éle an ICU-bed, the Ünit\u000b12!", "Bien sûr?"]

@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     prior = float(label.mean()) if len(label) else 0.5
     if not len(label) or label.min() == label.max():
         return Classifier(prior)
-    each = lambda name, kind: [np.asarray(x.values.to_numpy(), kind) for x in got.column(name)]
-    return Classifier(prior).fit(list(zip(each("at", np.int64), each("part", np.float32))), label)
+    each = lambda name: [x.values.to_numpy() for x in got.column(name)]
+    return Classifier(prior).fit(list(zip(each("at"), each("part"))), label)  # views of what Arrow holds
 
 
 def with_score(docs: DataFrame, model: Classifier, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -8,8 +8,8 @@ part paragraphs and stay.
 All lines are cut and hashed once, into a table that the later steps read by column. Exact repeats
 are settled by hashes alone. For near repeats, an edit leaves either the first or the last `p`
 characters of both lines untouched, where `p` is about half their length; two such hashes a line
-(four where `p` changes with one character) find every line that can have a partner at all, usually a
-few in a hundred. Those emit their deletion neighbourhood as hashed keys: each line with one character
+(four where `p` changes with one character) find every line that can have a partner at all, and hashes
+of exact halves with lengths thin these out. What is left emits its deletion neighbourhood as hashed keys: each line with one character
 deleted, tagged with the place (equal keys differ by a substitution), and the same without the place
 beside the line itself (equal keys differ by an insertion). Members of a key are joined to the
 earliest one only, so that a key shared by a third of all lines stays linear, and edit distance is
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, free, map_columns, small, write_table
+from .common import drop_table, free, map_columns, reread, small, write_table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -41,6 +41,16 @@ def _ends() -> F.Column:
     return F.when(size(n) == size(n - 1), F.array(*pair(size(n)))).otherwise(F.array(*pair(size(n)), *pair(size(n - 1))))
 
 
+def _halves() -> F.Column:
+    """Hashes of the line's first and second half, with the length of the shorter line: for partners as long, longer by one, or shorter by one."""
+    line, n = F.col("line"), F.length("line")
+    keys = []
+    for m in (n, n - 1):
+        p = F.floor(m / 2).cast("int")
+        keys += [F.xxhash64(F.lit(0), m, F.substring(line, F.lit(1), p)), F.xxhash64(F.lit(1), m, F.substring(line, n - (m - p) + 1, m - p))]
+    return F.array(*keys)
+
+
 def cut(docs: DataFrame, id_col: str, text_col: str, near_chars: int) -> DataFrame:
     """One row per line that is not blank: doc, th, at, h1, h2, ends (none below `near_chars`), line."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -116,9 +126,15 @@ def near(lines: DataFrame) -> DataFrame:
     drop_table(common)
     pick = small(chosen, chosen.count(), 48)
     kept = lines.select(*_POS, "h1", "h2", "line").alias("l").join(pick.alias("p"), F.expr("l.h1 = p.h1 and l.h2 = p.h2 and l.doc <=> p.doc and l.th = p.th and l.at = p.at"), "left_semi")
-    kept = write_table(kept.dropDuplicates(["h1"]), "lines")
+    rough = write_table(kept.dropDuplicates(["h1"]), "rough")
     drop_table(chosen)
-    keys = kept.repartition("h1").select("h1", "line").mapInArrow(_emit, "key long, kind byte, h1 long")
+    # these few are compared again, by halves and lengths
+    halves = rough.select("h1", F.explode(_halves()).alias("key"))
+    alike = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    kept = write_table(reread(rough).join(halves.join(alike, "key", "left_semi").select("h1").distinct(), "h1", "left_semi"), "lines")
+    drop_table(rough)
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes of lines make many keys, so their tasks are not put together
+    keys = kept.repartition(parts, "h1").select("h1", "line").mapInArrow(_emit, "key long, kind byte, h1 long")
     met = write_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("k > 1 and not (lo = 1 and hi = 1)").select("key"), "met")
     some = keys.join(small(met, met.count(), 16), "key", "left_semi").join(kept.select("h1", *_POS), "h1")
     some = write_table(some.select("key", "kind", "h1", F.struct(*_POS).alias("pos")), "some")

@@ -35,4 +35,30 @@ OP8 = """WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddi
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.v, b.v) AS score FROM x a, x b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
 
-ORACLES = {"op4_line_dedup": OP4, "op6_warc": OP6, "op7_ngram_jaccard": OP7, "op8_ann": OP8}
+OP12 = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+cut AS (SELECT lang, phrase, a, ws, k, unnest(range(1, k)) AS pos FROM c),
+s AS (SELECT cut.lang, cut.phrase, a, pos, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.ws[1 : pos], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.ws[pos + 1 : cut.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
+i AS (SELECT lang, a, ws, k, m, unnest(range(1, k - m + 2)) AS pos FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k), o AS (SELECT lang, array_to_string(ws[pos : pos + m - 1], ' ') AS phrase, max(a) AS over FROM i GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE over IS NULL OR 100::HUGEINT * over < 80::HUGEINT * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN tot USING (lang) WHERE rank <= 2000"""
+
+
+def _op13(k: int = 8, rounds: int = 10) -> str:
+    """Each round's assignment and centroids as a table of their own."""
+    parts = ["""x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM x QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, x.v, c, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))::BIGINT AS d FROM x, c{r} y QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT c, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m, v) AS v FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c) USING (c))""")
+    return f"""WITH {", ".join(parts)}, t AS (SELECT c, sum(d)::BIGINT AS t FROM a{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, t AS cluster_inertia, (SELECT sum(d)::BIGINT FROM a{rounds}) AS inertia, sha256(array_to_string(y.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} y USING (c) JOIN t USING (c)"""
+
+
+ORACLES = {"op4_line_dedup": OP4, "op6_warc": OP6, "op7_ngram_jaccard": OP7, "op8_ann": OP8, "op12_phrases": OP12, "op13_clusters": _op13()}

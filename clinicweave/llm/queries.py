@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, line_dedup, media, ngram_join, packing, quality, toxicity, warc
+from . import ann, bpe, clusters, langid, line_dedup, media, ngram_join, packing, phrases, quality, simhash, toxicity, warc
 from .common import narrow_batches, read, write_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -146,4 +146,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_toxicity, op4_line_dedup, op5_bpe, op6_warc, op7_ngram_jaccard, op8_ann, op9_quality, op10_packing)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of near copies: one row for each row of documents.
+
+    Null, empty and blank texts have fingerprint zero and link like others; texts of any length count
+    whole; ties do not arise, since a group is named by its smallest id; rows that repeat an id are
+    each answered by their text; an empty table gives no rows; other columns are not read.
+    """
+    narrow_batches(spark)
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language: none for a language without a frequent one.
+
+    Null and empty texts have no words, a null language is `und`; texts of any length count whole; of
+    equal scores the more frequent phrase comes first, then the smaller by its bytes; rows that repeat
+    count each; an empty table gives no rows; other columns are not read.
+    """
+    narrow_batches(spark)
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of embeddings: one row for each row with 64 finite components.
+
+    Null vectors, those of other lengths and those with null or non-finite components give no row;
+    rows without an id are answered but come last as first centroids; equal distances go to the
+    smaller number; rows that repeat are each answered; an empty table gives no rows; other columns
+    are not read.
+    """
+    narrow_batches(spark)
+    return clusters.cluster(read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_media_columns, op2_language_id, op3_toxicity, op4_line_dedup, op5_bpe, op6_warc, op7_ngram_jaccard, op8_ann, op9_quality, op10_packing, op11_simhash, op12_phrases, op13_clusters,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -27,6 +27,7 @@ from .common import drop_table, give_back, small, write_table
 LONGEST = 4
 CHUNK = 1 << 16  # counters that are merged together
 WIDEST = 1 << 27  # counters of a row at most: two rows of bits are 32 MB
+TASK = 1 << 29  # characters that a task reads at most; a core's share if that is less
 UNKNOWN = "und"
 _SEPARATORS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
 _TOKEN = re.compile(rb"[^ \t\n]+|\n")
@@ -109,10 +110,12 @@ def _sketch(width: int):
         some = False
         for _, words, seeds, _, _ in _runs(batches):
             some = True
-            held = np.concatenate([h[inside] for h, inside in grams(words, seeds)])
+            held, times = np.unique(np.concatenate([h[inside] for h, inside in grams(words, seeds)]), return_counts=True)
             for row, at in zip(counters, places(held, width)):
-                at, n = np.unique(at, return_counts=True)
-                row[at] = np.minimum(row[at] + n, 255).astype(np.uint8)
+                order = np.argsort(at, kind="stable")  # the first row's are in order already
+                at, n = at[order], times[order]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+                row[at[first]] = np.minimum(row[at[first]] + (np.add.reduceat(n, first) if len(at) else 0), 255).astype(np.uint8)
         press = zstandard.ZstdCompressor(level=1)
         for k, row in enumerate(counters if some else ()):
             step = min(CHUNK, width)
@@ -156,26 +159,46 @@ def _reach(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _survivors(shared, width: int, hold: int = 400_000):
+class _Tally:
+    """Phrases that a task holds, by their hash: in order, with counts, languages and words."""
+
+    def __init__(self):
+        self.keys, self.n, self.at = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.langs: list[int] = []
+        self.phrases: list[bytes] = []
+
+    def add(self, keys: np.ndarray, n: np.ndarray, lang, phrase) -> None:
+        """Sorted distinct keys and their counts; `lang(i)` and `phrase(i)` tell of the i-th where it is new."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        self.n[place[known]] += n[known]
+        new = np.flatnonzero(~known)
+        at = len(self.phrases) + np.arange(len(new))
+        for i in new.tolist():
+            self.langs.append(lang(i))
+            self.phrases.append(phrase(i))
+        self.keys, self.n, self.at = (np.insert(x, place[new], y) for x, y in ((self.keys, keys[new]), (self.n, n[new]), (self.at, at)))
+
+    def batches(self, names: list[str]):
+        n = np.empty(len(self.n), np.int64)
+        n[self.at] = self.n
+        for i in range(0, len(n), 50_000):
+            phrase, lang = self.phrases[i : i + 50_000], [names[k] for k in self.langs[i : i + 50_000]]
+            size = [x.count(b" ") + 1 for x in phrase]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int8()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n[i : i + 50_000])], names=["lang", "size", "phrase", "n"])
+
+
+def _survivors(shared, width: int, hold: int = 2_000_000):
     """(lang, size, phrase, n): exact counts, within a task, of the n-grams that survive; size 0 holds the words of a language."""
 
-    def out(seen, counts):
-        u, inverse = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([x for _, x in counts])).astype(np.int64)
-        rows = [seen[h] for h in u.tolist()]
-        for at in range(0, len(rows), 50_000):
-            lang, size, phrase = zip(*rows[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int8()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n[at : at + 50_000])], names=["lang", "size", "phrase", "n"])
-
     def run(batches):
-        bits = shared.value
-        seen: dict[int, tuple] = {}
-        counts: list[tuple] = []
-        total: dict[str, int] = {}
+        bits, held, total, names = shared.value, _Tally(), np.zeros(0, np.int64), []
         for found, words, seeds, names, which in _runs(batches):
-            for k, n in enumerate(np.bincount(which[words != 0], minlength=len(names)).tolist()):
-                total[names[k]] = total.get(names[k], 0) + n
-            alive = None
+            n = np.bincount(which[words != 0], minlength=len(names))
+            n[: len(total)] += total
+            total, alive, some = n, None, []
             for size, (h, inside) in enumerate(grams(words, seeds), 1):
                 if alive is not None:
                     inside = inside & alive[:-1] & alive[1:]  # both shorter parts survive
@@ -183,18 +206,17 @@ def _survivors(shared, width: int, hold: int = 400_000):
                 at = at[_reach(bits, h[at], width)]
                 alive = np.zeros(len(h), bool)
                 alive[at] = True
-                u, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                counts.append((u, n))
-                for x, i in zip(u.tolist(), at[first].tolist()):
-                    if x not in seen:
-                        seen[x] = (names[which[i]], size, b" ".join(found[i : i + size]))
-            if len(seen) > hold:
-                yield from out(seen, counts)
-                seen, counts = {}, []
-        if counts:
-            yield from out(seen, counts)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int8()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "size", "phrase", "n"])
+                some.append((h[at], at, np.full(len(at), size)))
+            h, at, size = (np.concatenate(x) for x in zip(*some))
+            u, first, n = np.unique(h, return_index=True, return_counts=True)
+            at, size = at[first], size[first]
+            held.add(u, n, lambda i: int(which[at[i]]), lambda i: b" ".join(found[at[i] : at[i] + size[i]]))
+            if len(held.keys) > hold:
+                yield from held.batches(names)
+                held = _Tally()
+        yield from held.batches(names)
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int8()), pa.array([""] * len(names), pa.string()), pa.array(total)], names=["lang", "size", "phrase", "n"])
 
     return lambda batches: give_back(run(batches))
 
@@ -208,7 +230,10 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
     chars = rows.agg(F.sum(F.length("text").cast("decimal(38,0)"))).first()[0] or 0
     width = min(WIDEST, max(1 << 10, 1 << (int(chars) // 16).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(rows, least, width))
+    context = docs.sparkSession.sparkContext
+    # a task sends a sketch and its own share of the survivors, whatever it reads: so few tasks, each with much text
+    rows = rows.coalesce(max(context.defaultParallelism, -(-int(chars) // TASK)))
+    shared = context.broadcast(sketch(rows, least, width))
     found = rows.mapInArrow(_survivors(shared, width), "lang string, size byte, phrase string, n long")
     return write_table(found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).where((F.col("size") == 0) | (F.col("f") >= least)), "phrases")
 

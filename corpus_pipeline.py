@@ -49,13 +49,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; texts without words all stay."""
+    """The document with the smallest id of each group of near copies, once if its row repeats; texts without words all stay."""
     narrow_batches(spark)
-    th, gone, gone_th = free(docs, "th", "gone", "gone_th")
-    found = ngram_join.groups(docs, **NEAR).where("not first").select(F.col("doc_id").alias(gone), F.col("th").alias(gone_th)).distinct()
+    th, mark_id, mark_th, mark = free(docs, "th", "mark_id", "mark_th", "mark")
+    told = write_table(ngram_join.groups(docs, **NEAR).select("doc_id", "th", "n_shingles", "first"), "groups")
+    gone = told.where("not first").select("doc_id", "th", F.lit("gone").alias("mark")).distinct()
+    again = told.where("first and n_shingles > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id", "th", F.lit("again"))
+    marks = write_table(gone.union(again), "marks").toDF(mark_id, mark_th, mark)
     keyed = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(th) == F.col(gone_th))
-    return keyed.join(found, same, "left_anti").drop(th)  # by shuffle: copies grow with the documents
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(mark_id)) & (F.col(th) == F.col(mark_th))
+    marked = keyed.join(marks, same, "left")  # by shuffle: copies grow with the documents
+    left = marked.where(F.col(mark).isNull())
+    if not marks.where(F.col(mark) == "again").isEmpty():
+        left = left.union(marked.where(F.col(mark) == "again").dropDuplicates([mark_id, th]))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

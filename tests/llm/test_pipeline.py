@@ -115,3 +115,20 @@ def test_repeated_ids_missing_ids_and_clashing_names(spark):
         assert left.columns == docs.columns and left.where("coalesce(text, '') = ''").count() == 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_one_of_equal_rows_stays(spark):
+    words = lambda x, n=40: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, words("a")), (1, words("a")), (2, words("a")), (2, words("a")), (3, words("b")), (3, words("c")), (3, words("c")), (None, words("d")), (None, words("d")), (4, "one"), (4, "one"), (5, None), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string").selectExpr("*", "1 as mark", "2 as mark_id", "3 as `a.b`")
+    kept = corpus_pipeline.dedup_documents(spark, docs, SF)
+    assert kept.columns == docs.columns
+    want = [(1, words("a")), (3, words("b")), (3, words("c")), (None, words("d")), (4, "one")] + [(5, None)] * 4 + [(6, "")] * 2
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_lines_go_in_the_pipeline(spark):
+    line = "an example of a line that is long enough"
+    docs = spark.createDataFrame([(1, f"{line}\nfirst"), (2, f"second\n{line[:-1]}"), (3, f"{line[:5]}#{line[6:]}\n\nthird"), (4, f"x{line}y")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
+    assert got == {1: f"{line}\nfirst", 2: "second", 3: "\nthird", 4: f"x{line}y"}

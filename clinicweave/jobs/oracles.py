@@ -288,6 +288,11 @@ ORACLES = {
     "desert_summary": scored_with(STATUS + ", m AS (SELECT * FROM pd ORDER BY risk DESC, pin_code, state LIMIT 100)", "SELECT count(*) AS total_regions, count_if(risk >= 0.7) AS high_risk_regions, round(count_if(risk >= 0.7) / count(*) * 100, 6) AS high_risk_percentage FROM m"),
     "needs_correction": scored_with(STATUS, "SELECT hospital_id, rule_trust, length(notes) AS note_length FROM conf WHERE rule_trust < 0.65"),
     "merge_updates": scored_with(STATUS, "SELECT hospital_id, CASE WHEN rule_trust < 0.65 THEN least(1.0, round(rule_trust + 0.1, 3)) ELSE rule_trust END AS rule_trust, CASE WHEN rule_trust < 0.65 THEN 1 ELSE 0 END AS correction_iterations FROM conf"),
+    "tfidf_features": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({lst(vocab.ENGLISH)}, x)) AS ws FROM documents),
+ t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+ v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, contains(term, ' '), term LIMIT 50000), n AS (SELECT count(*) AS n FROM documents),
+ x AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n), s AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM x GROUP BY doc_id)
+ SELECT doc_id AS id, term, round(w / s, 6) AS weight FROM x JOIN s USING (doc_id)""",
     "parsed_queries": f"WITH {_parsed(f'SELECT c_custkey AS query_id, {fixture.asked_columns(False)} AS query FROM customer')} SELECT query_id, q AS raw_query, state, pin, radius_km, array_to_string(specialties, ',') AS specialties, array_to_string(requirements, ',') AS requirements, sort FROM parsed",
     "search_candidates": scored_with(COORDS + ", " + _candidates(), "SELECT query_id, hospital_id, round(km, 6) AS distance_km, round(location, 6) AS location FROM cand"),
     "nonempty_facilities": with_("SELECT hospital_id, CASE WHEN hospital_id % 2 = 0 THEN '' ELSE hospital_name END AS hospital_name FROM clean WHERE hospital_id % 2 <> 0 OR specialties <> '' OR notes <> '' OR equipment <> '' OR procedure <> '' OR capability <> ''", upto="clean"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,6 +15,7 @@ from ..functions import text, vocab
 
 
 BROADCAST_BYTES = 32_000_000  # what may be broadcast at most
+_STAGED: list[str] = []
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,8 +33,40 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clinicweave-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def again(df: DataFrame) -> DataFrame:
+    """A second, independent view of a staged table, for joins with itself."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._staged)
+    out._staged = df._staged
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        _delete(df.sparkSession, df._staged)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _forget() -> None:
+    """What is still staged when Python ends goes."""
+    spark = SparkSession.getActiveSession()
+    try:
+        for path in _STAGED if spark else ():
+            _delete(spark, path)
+    except Exception:  # the JVM may be gone before Python ends
+        return
 
 
 def fits(df: DataFrame, row_bytes: int) -> Callable[[DataFrame], DataFrame]:

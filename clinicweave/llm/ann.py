@@ -130,7 +130,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 _FOUND = "query_id long, q_block int, q_place int, vec_id long, score double"
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = 300, block: int = 65_536, group: int = 32_768, sample: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = 320, block: int = 16_384, group: int = 32_768, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the `k` nearest found of each row whose id `every` divides.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without an id, take
@@ -138,7 +138,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     answered. Vectors of several lengths are searched length by length, since vectors of different
     lengths have no inner product. Fewer candidates than `k`: all. Equal scores go to the smaller id.
     No usable vectors: no rows. Other columns are ignored. The quantiser of a length is fitted on at
-    most `sample` rows, chosen by a hash of the id; every row is coded and searched.
+    most `sample` rows, the first by a hash of the id; every row is coded and searched. Blocks are
+    dealt by a hash of the rows, and `rerank` of about `block` are ranked exactly in each, so neither
+    the number of cores nor the order of rows changes an answer.
     """
     rows = usable(vectors, id_col, vec_col)
     lengths = sorted(r.d for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1))).collect())
@@ -151,16 +153,15 @@ def _search(rows: DataFrame, dim: int, every: int, k: int, rerank: int, block: i
     spark = rows.sparkSession
     n = rows.count()
     share = int(min(1.0, 1.2 * sample / n) * 1_000_000) + 1
-    chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("v").limit(sample).toArrow()
-    if not chosen.num_rows:
-        chosen = rows.select("v").limit(sample).toArrow()
+    few = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share)
+    few = few if n <= sample or not few.isEmpty() else rows
+    chosen = few.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("v")).select("v").limit(sample).toArrow()  # the same whatever the order of rows
     flat = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     model = spark.sparkContext.broadcast(Quantiser(flat(chosen.column("v"))))  # centres and code books: a few numbers for each dimension
-    block = min(block, max(2048, -(-n // (2 * spark.sparkContext.defaultParallelism))))  # small tables still give every core a block
     blocks = -(-n // block)
 
     def pack(part: pa.Table) -> pa.Table:
-        part = part.sort_by("vec_id")
+        part = part.sort_by([("vec_id", "ascending"), ("h", "ascending")])
         x = flat(part.column("v"))
         codes, coarse, scale = model.value.encode(x)
         return pa.table({
@@ -176,7 +177,7 @@ def _search(rows: DataFrame, dim: int, every: int, k: int, rerank: int, block: i
                 raw = np.frombuffer(row["raw"], "<f8").reshape(-1, dim)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), row["block"], np.int32)), pa.array(at.astype(np.int32)), pa.array([x.tobytes() for x in raw], pa.binary())], names=["query_id", "q_block", "q_place", "q"])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("h", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     data = write_table(dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, raw binary, codes binary, coarse binary, scale binary"), "codes")
     asks = write_table(data.select("block", "ids", "raw").mapInArrow(pick, "query_id long, q_block int, q_place int, q binary"), "asks")
     parts = -(-asks.count() // group) or 1

@@ -1,7 +1,7 @@
 """Web archives (WARC) with Zstandard dictionaries, written and read as rows of whole archives.
 
 An archive is one binary value: a leading skippable frame with a dictionary built from the archive's
-own records, then one frame per record, so that any record can be read alone. Archives close at a
+own records (trained, or their beginnings where they are too few to train on), then one frame per record, so that any record can be read alone. Archives close at a
 bounded size and go through Spark's own writer, so a lost task leaves no half archive behind.
 """
 
@@ -16,8 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES, write_table
+
 SKIPPABLE = 0x184D2A5D
 LEAST = 1000  # bytes of payload from which an equal one is a revisit
+SPREAD = 32  # tasks over which the copies of one payload are dealt
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -35,20 +38,24 @@ def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> by
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained dictionary of about `size` bytes; of samples too few or too small to train on, their beginnings, an eighth of them at most."""
+    total = sum(map(len, samples))
+    if len(samples) >= 16 and total > 4 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:  # the samples have too little in common
+            pass
+    each = max(64, min(size, total // 8) // max(1, len(samples)))
+    return b"".join(x[:each] for x in samples)[:size]
+
+
 def archive(records: list[bytes], dict_bytes: int = 32_768, sample_bytes: int = 2_000_000, level: int = 3) -> bytes:
-    """One archive; records too few to train on are compressed without a dictionary."""
+    """One archive: a dictionary built from its own records in a leading skippable frame, then a frame for each record."""
     step = max(1, sum(map(len, records)) // sample_bytes)
-    samples = [r[:65_536] for r in records[::step]]
-    out, trained = [], None
-    if len(samples) >= 16 and sum(map(len, samples)) > 4 * dict_bytes:
-        try:
-            trained = zstandard.train_dictionary(dict_bytes, samples, k=256, d=8)
-            raw = trained.as_bytes()
-            out.append(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
-        except zstandard.ZstdError:
-            trained = None
-    press = zstandard.ZstdCompressor(level=level, dict_data=trained, write_content_size=True)
-    return b"".join(out + [press.compress(r) for r in records])
+    raw = dictionary([r[:65_536] for r in records[::step]], dict_bytes)
+    press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True)
+    return b"".join([struct.pack("<II", SKIPPABLE, len(raw)), raw, *(press.compress(r) for r in records)])
 
 
 def records(data: bytes):
@@ -101,9 +108,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body"))
     kept = rows.where(F.length("body") >= least).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha1", "first")
-    large = rows.where(F.length("body") >= least).join(kept, "sha1", "left")  # small and empty ones never meet in a task
+    kept = write_table(kept, "payloads")
+    count = kept.count()
+    large, small_ones = rows.where(F.length("body") >= least), rows.where(F.length("body") < least)  # small and empty ones never meet in a task
+    if count * 80 <= BROADCAST_BYTES:
+        large = large.join(F.broadcast(kept), "sha1", "left")
+    else:  # copies of one payload go to many tasks
+        part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int")
+        large = large.withColumn("part", part).join(kept.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["sha1", "part"], "left")
     large = large.select("page_id", "url", "body", "sha1", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
-    rows = large.union(rows.where(F.length("body") < least).select("page_id", "url", "body", "sha1", F.lit(None).cast("long")))
+    rows = large.union(small_ones.select("page_id", "url", "body", "sha1", F.lit(None).cast("long")))
 
     def run(batches):
         held, size, close = [], 0, lambda: pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["n_records", "archive"])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -266,6 +267,39 @@ def test_warc_dictionary_frame():
     assert data[:4] == b"\x5d\x2a\x4d\x18" and list(warc.records(data)) == recs
 
 
+@pytest.mark.parametrize("count", [1, 2, 15, 40])
+def test_warc_dictionary_of_few_records(count):
+    recs = [warc.record(k, "http://a/", f"<html><body>page {k} {'x' * k}</body></html>".encode(), "00" * 20, None) for k in range(count)] + [b""] * (count == 2)
+    data = warc.archive(recs)
+    assert data[:4] == b"\x5d\x2a\x4d\x18" and struct.unpack_from("<I", data, 4)[0] > 0 and list(warc.records(data)) == recs
+
+
+def test_warc_many_payloads_are_joined_in_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"u{k}", "y" * 1500 + str(k % 3)) for k in range(60)] + [(None, "u", "y" * 1500 + "0")], "page_id long, url string, html string")
+    want = sorted(map(repr, warc.read_archives(warc.write_archives(pages)).drop("html").collect()))
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, warc.read_archives(warc.write_archives(pages)).drop("html").collect())) == want
+
+
+def test_ann_recall_where_few_are_ranked_exactly(spark):
+    """20,000 rows in one block, 400 of them ranked exactly; neither cores nor the order of rows matter."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(40, 24))[rng.integers(0, 40, 20_000)] + 0.5 * rng.normal(size=(20_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    found = ann.search(df.repartition(5), every=200, rerank=400, block=32_768).collect()
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 200):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 100
+    again = ann.search(df.orderBy(F.desc("vec_id")).coalesce(1), every=200, rerank=400, block=32_768).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+
+
 def test_ann(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 10)).astype(np.float32)

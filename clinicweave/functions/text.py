@@ -32,14 +32,24 @@ def split_camel(c: Column) -> Column:
     return F.regexp_replace(c, "([A-Z])(?=[A-Z][a-z])", "$1 ")
 
 
-def pattern(words: list[str]) -> str:
-    return r"\b(?:" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + r")\b"
+def implied(terms: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The tags of each word: its own and those of every word that it begins with."""
+    words = {w for ws in terms.values() for w in ws}
+    begins = lambda w, v: w == v or w.startswith(v) and not (w[len(v)].isalnum() or w[len(v)] == "_")
+    return {w: sorted(tag for tag, ws in terms.items() if any(begins(w, v) for v in ws)) for w in words}
 
 
 def tags(c: Column, terms: dict[str, list[str]]) -> Column:
-    """Sorted names of the terms of which any word occurs."""
-    text = F.lower(split_camel(c))
-    return F.array_sort(F.array_compact(F.array(*(F.when(text.rlike(pattern(words)), F.lit(tag)) for tag, words in terms.items()))))
+    """Sorted names of the terms of which any word occurs.
+
+    One pattern looks at each place once, without moving on: the longest word that starts there
+    stands for the shorter ones it begins with, and words that overlap it are found at their own place.
+    """
+    table = implied(terms)
+    words = sorted(table, key=lambda w: (-len(w), w))
+    found = F.regexp_extract_all(F.lower(split_camel(c)), F.lit(r"\b(?=(" + "|".join(re.escape(w).replace(r"\ ", " ") for w in words) + r")\b)"), 1)
+    lookup = F.create_map(*(x for w in words for x in (F.lit(w), strings(table[w]))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda w: F.try_element_at(lookup, w)))))
 
 
 def strings(values: list[str]) -> Column:

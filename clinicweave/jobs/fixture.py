@@ -89,3 +89,8 @@ def asked_columns(spark: bool) -> str:
 
 def queries_sql() -> str:
     return values_sql(list(enumerate(QUERIES)), "query_id, query")
+
+
+def batch_sql(spark: bool) -> str:
+    """The fixed queries, and the text of every customer whose key 50 divides, numbered from 100 on."""
+    return f"{queries_sql()} UNION ALL SELECT c_custkey + 100 AS query_id, {asked_columns(spark)} AS query FROM customer WHERE c_custkey % 50 = 0"

@@ -185,11 +185,19 @@ def _status() -> str:
 
 
 STATUS = _status()
-BM25 = f"""docs AS (SELECT doc_id, {TOKENS('text')} AS tk FROM documents), post AS (SELECT doc_id, len(tk) AS dl, w AS term, count(*) AS tf FROM docs, unnest(tk) AS u(w) GROUP BY ALL),
+
+
+def _bm25(docs: str, asked: str) -> str:
+    """(query, doc_id, score) of documents (doc_id, text) and queries (query, text)."""
+    return f"""docs AS (SELECT doc_id, {TOKENS('text')} AS tk FROM ({docs})), post AS (SELECT doc_id, len(tk) AS dl, w AS term, count(*) AS tf FROM docs, unnest(tk) AS u(w) GROUP BY ALL),
  corp AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM docs), t0 AS (SELECT term, count(*) AS df, ln((SELECT n FROM corp) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
- terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {EPSILON} * (SELECT avg(raw) FROM t0) ELSE raw END AS idf FROM t0), qs AS (SELECT item_id AS query, w AS term, count(*) AS times FROM benchmark, unnest({TOKENS('text')}) AS u(w) GROUP BY ALL),
+ terms AS (SELECT term, df, CASE WHEN raw < 0 THEN {EPSILON} * (SELECT avg(raw) FROM t0) ELSE raw END AS idf FROM t0), qs AS (SELECT query, w AS term, count(*) AS times FROM ({asked}), unnest({TOKENS('text')}) AS u(w) GROUP BY ALL),
  bm AS (SELECT query, doc_id, sum(idf * times * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * dl / (SELECT avgdl FROM corp)))) AS score FROM qs JOIN terms USING (term) JOIN post USING (term) GROUP BY ALL)"""
 
+
+BM25 = _bm25("SELECT doc_id, text FROM documents", "SELECT item_id AS query, text FROM benchmark")
+SEARCH_TEXT = strip("(hospital_name || ' | ' || specialties || ' | ' || equipment || ' | ' || procedure || ' | ' || capability || ' | ' || notes || ' | ' || facility_type || ' | ' || state || ' ' || district)")
+
 NEAREST = "x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), pr AS (SELECT a.vec_id AS query, b.vec_id AS id, list_inner_product(a.v, b.v) AS s FROM x a, x b WHERE a.vec_id % 50 = 0), near AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 200)"
 
 
@@ -210,11 +218,20 @@ def _candidates() -> str:
     d = km("q_lat", "q_lon", "lat", "lon")
     where = "CASE WHEN q_lat IS NOT NULL AND radius_km > 0 THEN km <= radius_km AND (want IS NULL OR want = have) WHEN want IS NOT NULL THEN want = have ELSE false END"
     name = f"CASE WHEN want = have THEN 1.0 WHEN want = lower({strip('district')}) THEN 0.5 ELSE 0.0 END"
-    return f"""{_parsed(fixture.queries_sql())}, asked AS (SELECT parsed.*, {state('parsed.state')} AS want, coalesce(pins.latitude, px.lat) AS q_lat, coalesce(pins.longitude, px.lon) AS q_lon FROM parsed LEFT JOIN pins ON pins.pin_code = parsed.pin LEFT JOIN px ON px.k = substr(parsed.pin, 1, 3)),
+    return f"""{_parsed(fixture.batch_sql(False))}, asked AS (SELECT parsed.*, {state('parsed.state')} AS want, coalesce(pins.latitude, px.lat) AS q_lat, coalesce(pins.longitude, px.lon) AS q_lon FROM parsed LEFT JOIN pins ON pins.pin_code = parsed.pin LEFT JOIN px ON px.k = substr(parsed.pin, 1, 3)),
  met AS (SELECT query_id, hospital_id, want, radius_km, q_lat, {state('fac.state')} AS have, district, {d} AS km FROM asked, fac), hit AS (SELECT *, coalesce({where}, false) AS here FROM met), hits AS (SELECT query_id, bool_or(here) AS any_here FROM hit GROUP BY 1),
  cand AS (SELECT hit.*, CASE WHEN km IS NULL THEN {name} WHEN radius_km > 0 THEN greatest(0.0, 1 - km / radius_km) ELSE 1 / (1 + km / 50) END AS location FROM hit JOIN hits USING (query_id) WHERE here OR NOT any_here)"""
 
 
+def _hybrid() -> str:
+    """The ten best candidates of each query by keyword, trust and place."""
+    own = _bm25(f"SELECT hospital_id AS doc_id, {SEARCH_TEXT} AS text FROM scored", "SELECT query_id AS query, q AS text FROM parsed")
+    return f"""{_candidates()}, {own},
+ k AS (SELECT cand.query_id, cand.hospital_id, location, coalesce(bm.score, 0.0) AS kw, trust_score / 100.0 AS tr, sort FROM cand JOIN scored USING (hospital_id) JOIN parsed USING (query_id) LEFT JOIN bm ON bm.query = cand.query_id AND bm.doc_id = cand.hospital_id),
+ m AS (SELECT *, CASE WHEN max(kw) OVER w - min(kw) OVER w < 1e-9 THEN (max(kw) OVER w <> 0)::INT ELSE (kw - min(kw) OVER w) / (max(kw) OVER w - min(kw) OVER w) END AS kn, count(*) OVER w AS total_candidates FROM k WINDOW w AS (PARTITION BY query_id)),
+ h AS (SELECT *, CASE WHEN sort = 'distance' THEN 0.7 * location + 0.2 * tr ELSE 0.2 * kn + 0.2 * tr + 0.1 * location END AS score FROM m), hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hospital_id) AS rank FROM h)"""
+
+
 def _evidence() -> str:
     j = lambda p, d: f"coalesce(json_extract_string(j, '$.{p}'), '{d}')"
     an, cs = j("staff.anesthesiologist", "unknown"), j("surgery.caesarean", "uncertain")
@@ -269,7 +286,8 @@ ORACLES = {
     "quality_report": with_("SELECT count(*) AS total, count_if(notes <> '') AS with_description, count_if(equipment NOT IN ('', '[]')) AS with_equipment, count_if(latitude IS NOT NULL AND longitude IS NOT NULL) AS with_coords, count_if(pin_code <> '') AS with_zip FROM clean", upto="clean"),
     "state_counts": with_("SELECT state, count(*) AS k FROM clean GROUP BY state ORDER BY k DESC, state LIMIT 20", upto="clean"),
     "facility_coords": scored_with(COORDS, "SELECT hospital_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM fac"),
-    "radius_join": scored_with(COORDS, f"SELECT pins.pin_code AS query_pin, hospital_id, round({km('pins.latitude', 'pins.longitude', 'lat', 'lon')}, 6) AS distance_km FROM pins, fac WHERE {km('pins.latitude', 'pins.longitude', 'lat', 'lon')} <= 150"),
+    "radius_join": scored_with(COORDS + ", asked AS (SELECT pin_code AS query_pin, latitude AS q_lat, longitude AS q_lon FROM pins UNION ALL SELECT 'at ' || hospital_id, lat, lon FROM fac WHERE hospital_id % 50 = 0)",
+        f"SELECT query_pin, hospital_id, round({km('q_lat', 'q_lon', 'lat', 'lon')}, 6) AS distance_km FROM asked, fac WHERE {km('q_lat', 'q_lon', 'lat', 'lon')} <= 150"),
     "tokens": f"SELECT doc_id, array_to_string({TOKENS('text')}, ' ') AS tokens FROM documents",
     "sentences": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, {shortest(sentences('text'), lst(['idiot', 'the', 'license']))} AS quote FROM documents",
     "bm25_topk": f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm) SELECT query, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10",
@@ -288,6 +306,7 @@ ORACLES = {
     "desert_summary": scored_with(STATUS + ", m AS (SELECT * FROM pd ORDER BY risk DESC, pin_code, state LIMIT 100)", "SELECT count(*) AS total_regions, count_if(risk >= 0.7) AS high_risk_regions, round(count_if(risk >= 0.7) / count(*) * 100, 6) AS high_risk_percentage FROM m"),
     "needs_correction": scored_with(STATUS, "SELECT hospital_id, rule_trust, length(notes) AS note_length FROM conf WHERE rule_trust < 0.65"),
     "merge_updates": scored_with(STATUS, "SELECT hospital_id, CASE WHEN rule_trust < 0.65 THEN least(1.0, round(rule_trust + 0.1, 3)) ELSE rule_trust END AS rule_trust, CASE WHEN rule_trust < 0.65 THEN 1 ELSE 0 END AS correction_iterations FROM conf"),
+    "merge_buckets": scored_with(STATUS, "SELECT hospital_id, CASE WHEN rule_trust < 0.65 THEN least(1.0, round(rule_trust + 0.1, 3)) ELSE rule_trust END AS rule_trust, CASE WHEN rule_trust < 0.65 THEN 1 ELSE 0 END AS correction_iterations FROM conf"),
     "tfidf_features": f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({lst(vocab.ENGLISH)}, x)) AS ws FROM documents),
  t AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
  v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, contains(term, ' '), term LIMIT 50000), n AS (SELECT count(*) AS n FROM documents),
@@ -295,6 +314,7 @@ ORACLES = {
  SELECT doc_id AS id, term, round(w / s, 6) AS weight FROM x JOIN s USING (doc_id)""",
     "parsed_queries": f"WITH {_parsed(f'SELECT c_custkey AS query_id, {fixture.asked_columns(False)} AS query FROM customer')} SELECT query_id, q AS raw_query, state, pin, radius_km, array_to_string(specialties, ',') AS specialties, array_to_string(requirements, ',') AS requirements, sort FROM parsed",
     "search_candidates": scored_with(COORDS + ", " + _candidates(), "SELECT query_id, hospital_id, round(km, 6) AS distance_km, round(location, 6) AS location FROM cand"),
+    "hybrid_ranking": scored_with(COORDS + ", " + _hybrid(), "SELECT query_id, CAST(rank AS INT) AS rank, hospital_id, round(score, 6) AS score, round(kn, 6) AS keyword, round(location, 6) AS location, total_candidates FROM hr WHERE rank <= 10"),
     "nonempty_facilities": with_("SELECT hospital_id, CASE WHEN hospital_id % 2 = 0 THEN '' ELSE hospital_name END AS hospital_name FROM clean WHERE hospital_id % 2 <> 0 OR specialties <> '' OR notes <> '' OR equipment <> '' OR procedure <> '' OR capability <> ''", upto="clean"),
     "facility_ids": with_("SELECT state, hospital_name, hospital_id AS old_id, row_number() OVER (ORDER BY state, hospital_name, hospital_id) - 1 AS hospital_id FROM clean", upto="clean"),
     "bronze": with_("SELECT hospital_id, sha256(hospital_name) AS facility_id, true AS stamped FROM clean", upto="clean"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import bm25, extraction, geo, queries, scoring, search, stats, vectors
-from ..sources import tables
+from ..sources import buckets, tables
 from . import fixture
 
 
@@ -98,11 +98,11 @@ def heatmap(spark, sf_dir):
 
 
 def flagged_contradictions(spark, sf_dir):
-    return stats.flagged(enriched(spark, sf_dir)).select("hospital_id", "hospital_name", "state", "pin_code", "trust_score", "evidence")
+    return stats.flagged(scored(spark, sf_dir)).select("hospital_id", "hospital_name", "state", "pin_code", "trust_score", "evidence")
 
 
 def flagged_search(spark, sf_dir):
-    return stats.filter_flagged(stats.flagged(enriched(spark, sf_dir)), "del").select("hospital_id", "hospital_name", "state", "trust_score")
+    return stats.filter_flagged(stats.flagged(scored(spark, sf_dir)), "del").select("hospital_id", "hospital_name", "state", "trust_score")
 
 
 def quality_report(spark, sf_dir):
@@ -118,8 +118,12 @@ def facility_coords(spark, sf_dir):
 
 
 def radius_join(spark, sf_dir):
-    asked = pins(spark).select(F.col("pin_code").alias("query_pin"), F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"), F.lit(150.0).alias("radius_km"))
-    return _rounded(geo.radius_join(asked, located(spark, sf_dir).select("hospital_id", "lat", "lon")).select("query_pin", "hospital_id", "distance_km"), "distance_km")
+    """Facilities within 150 km of postal codes, and of every facility whose id 50 divides."""
+    places = tables.stage(located(spark, sf_dir).select("hospital_id", "lat", "lon"), "places")
+    asked = pins(spark).select(F.col("pin_code").alias("query_pin"), F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    own = places.where("hospital_id % 50 = 0").select(F.concat(F.lit("at "), F.col("hospital_id").cast("string")), "lat", "lon")
+    asked = asked.union(own).withColumn("radius_km", F.lit(150.0))
+    return _rounded(geo.radius_join(asked, places).select("query_pin", "hospital_id", "distance_km"), "distance_km")
 
 
 def tokens(spark, sf_dir):
@@ -134,8 +138,7 @@ def sentences(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
     asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("tokens"))
-    found = _rounded(bm25.scores(asked, docs, "doc_id"), "score").select("query", F.col("id").alias("doc_id"), "score")
-    return search.top_k(found, 10, "query", "score", "doc_id")
+    return bm25.best(asked, docs, "doc_id", 10)[0].select("query", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def _similar(spark, sf_dir, k):
@@ -208,19 +211,43 @@ def merge_updates(spark, sf_dir):
     return extraction.merge_updates(rows, new, ["rule_trust", "correction_iterations"], "hospital_id")
 
 
+def merge_buckets(spark, sf_dir):
+    """The same through a table in buckets, of which updates rewrite those they touch; of two updates of a key the later counts."""
+    rows = tables.stage(gold(spark, sf_dir).select("hospital_id", "rule_trust", F.lit(0).alias("correction_iterations")), "gold")
+    first = rows.where("rule_trust < 0.65").select("hospital_id", F.lit(0.0).alias("rule_trust"), F.lit(9).alias("correction_iterations"), F.lit(1).alias("nr"))
+    last = rows.where("rule_trust < 0.65").select("hospital_id", F.least(F.lit(1.0), F.round(F.col("rule_trust") + 0.1, 3)).alias("rule_trust"), F.lit(1).alias("correction_iterations"), F.lit(2).alias("nr"))
+    path = tables.scratch(spark, "gold_buckets")
+    buckets.write(rows, path, "hospital_id", 64)
+    buckets.merge(spark, path, first.union(last), ["rule_trust", "correction_iterations"], latest_by="nr")
+    return buckets.read(spark, path)
+
+
 def export_geo(spark, sf_dir):
     return tables.geo_records(located(spark, sf_dir).select("hospital_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))).agg(F.count(F.lit(1)).alias("records"))
 
 
+def _batch(spark, sf_dir):
+    """The fixed queries and those of customers, parsed."""
+    customer = _read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").selectExpr("c_custkey + 100 as query_id", f"{fixture.asked_columns(True)} as query")
+    asked = spark.sql(fixture.queries_sql()).withColumn("query_id", F.col("query_id").cast("long")).union(customer)
+    return tables.stage(queries.parse_queries(asked).select("query_id", "state", "pin", "radius_km", "specialties", "requirements", "sort", "raw_query"), "parsed")
+
+
 def hybrid_search(spark, sf_dir):
-    """The fixed queries over all facilities; parsed, filtered, ranked and explained."""
-    asked = queries.parse_queries(spark.sql(fixture.queries_sql())).select("query_id", "state", "pin", "radius_km", "specialties", "requirements", "sort", "raw_query")
-    asked = tables.stage(asked, "parsed")
+    """The fixed queries and those of customers over all facilities; parsed, filtered, ranked and explained."""
+    asked = _batch(spark, sf_dir)
     index = tables.stage(located(spark, sf_dir), "index")  # several signals read it
     semantic = tables.stage(search.semantic_scores(asked, index, vectors.SvdEncoder.learn(index, "hospital_id", "search_text")), "semantic")  # scaling reads it twice
     return search.hybrid_search(asked, index, geo.centroids(pins(spark)), semantic=semantic)
 
 
+def hybrid_ranking(spark, sf_dir):
+    """The same by keywords, trust and place alone, without the encoder's signal."""
+    index = tables.stage(located(spark, sf_dir), "index")
+    found = search.hybrid_search(_batch(spark, sf_dir), index, geo.centroids(pins(spark)))
+    return _rounded(found.select("query_id", "rank", "hospital_id", "score", "keyword", "location", "total_candidates"), "score", "keyword", "location")
+
+
 def tfidf_features(spark, sf_dir):
     return _rounded(vectors.tfidf(_read(spark, sf_dir, "documents"), "doc_id", "text", stop=vocab.ENGLISH), "weight")
 
@@ -233,8 +260,8 @@ def parsed_queries(spark, sf_dir):
 
 
 def search_candidates(spark, sf_dir):
-    """The candidates of each fixed query, with their distance and location score."""
-    asked = tables.stage(queries.parse_queries(spark.sql(fixture.queries_sql())), "parsed")
+    """The candidates of each query of the batch, with their distance and location score."""
+    asked = _batch(spark, sf_dir)
     q = geo.pin_coords(asked, geo.centroids(pins(spark)), "pin", "_at").select("query_id", "state", "radius_km", F.col("_at.lat").alias("q_lat"), F.col("_at.lon").alias("q_lon"))
     rows = tables.stage(located(spark, sf_dir).select("hospital_id", "state", "district", "lat", "lon"), "places")
     pairs = search.filter_candidates(q, rows).join(q.withColumnRenamed("state", "q_state"), "query_id").join(rows, "hospital_id").withColumn("at", geo.location_score())
@@ -309,7 +336,7 @@ QUERIES = {
     for f in (
         state_deserts, canonical_facilities, facility_tags, trust_scores, trust_breakdown, search_text, worst_state, overview, specialty_state_counts, specialty_summary, specialty_matrix, heatmap,
         flagged_contradictions, flagged_search, quality_report, state_counts, facility_coords, radius_join, tokens, sentences, bm25_topk, vector_topk, minmax_rank, l2_normalize, extraction_trust,
-        verified_trust, extraction_status, pin_deserts, state_risk_rollup, desert_map, desert_summary, needs_correction, merge_updates, export_geo, hybrid_search, tfidf_features, svd_embed,
+        verified_trust, extraction_status, pin_deserts, state_risk_rollup, desert_map, desert_summary, needs_correction, merge_updates, merge_buckets, export_geo, hybrid_search, hybrid_ranking, tfidf_features, svd_embed,
         parsed_queries, search_candidates, nonempty_facilities, facility_ids, bronze, geo_export, facility_records, vector_rerank, trust_evidence, verified_evidence, gold_records,
     )
 }

@@ -12,37 +12,83 @@ from . import bm25, geo, scoring, vectors
 # Weights of the signals, for relevance and for urgent queries.
 RELEVANCE = {"semantic": 0.5, "keyword": 0.2, "trust": 0.2, "location": 0.1}
 URGENT = {"location": 0.7, "trust": 0.2, "semantic": 0.1}
+_CIRCLE = "q_lat is not null and radius_km > 0"
+
+
+def candidates_found(queries: DataFrame, facilities: DataFrame) -> DataFrame:
+    """(query_id, hospital_id): same state, and within the radius where the postal code has a place."""
+    q = queries.withColumn("want", text.normal_state(F.col("state")))
+    f = facilities.select("hospital_id", "lat", "lon", text.normal_state(F.col("state")).alias("have"))
+    near = geo.radius_join(q.where(_CIRCLE).select("query_id", "want", "q_lat", "q_lon", "radius_km"), f).where("want is null or want = have").select("query_id", "hospital_id")
+    named = q.where(f"want is not null and not coalesce({_CIRCLE}, false)").join(f, F.col("want") == F.col("have")).select("query_id", "hospital_id")
+    return near.union(named)
 
 
 def filter_candidates(queries: DataFrame, facilities: DataFrame) -> DataFrame:
-    """(query_id, hospital_id): same state, and within the radius where the postal code has a place.
+    """(query_id, hospital_id) of `candidates_found`; a query for which none is left gets every facility.
 
-    A query for which none is left gets every facility, since its ranks depend on all of them.
+    For those who want all pairs; `hybrid_search` ranks such queries without them.
     """
-    q = queries.withColumn("want", text.normal_state(F.col("state")))
-    f = facilities.select("hospital_id", "lat", "lon", text.normal_state(F.col("state")).alias("have"))
-    circle = F.col("q_lat").isNotNull() & (F.col("radius_km") > 0)
-    near = geo.radius_join(q.where(circle).select("query_id", "want", "q_lat", "q_lon", "radius_km"), f).where("want is null or want = have").select("query_id", "hospital_id")
-    named = q.where(~circle & F.col("want").isNotNull()).join(f, F.col("want") == F.col("have")).select("query_id", "hospital_id")
-    found = near.union(named)
-    rest = q.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    rest = tables.stage(rest, "rest")
-    return found.union(tables.fits(rest, 16)(rest).crossJoin(f.select("hospital_id")).select("query_id", "hospital_id"))  # a stated batch of queries, each ranked over all
+    found = tables.stage(candidates_found(queries, facilities), "candidates")
+    rest = tables.stage(queries.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+    return found.union(tables.fits(rest, 16)(rest).crossJoin(facilities.select("hospital_id")).select("query_id", "hospital_id"))  # a stated batch of queries, each with all
 
 
 def minmax(df: DataFrame, columns: list[str], by: str = "query_id", counted: str | None = None) -> DataFrame:
     """Each column scaled to 0..1 within a query; all equal: 0 if the largest is 0, else 1. `counted`: a column of its rows."""
     more = [F.count(F.lit(1)).alias(counted)] if counted else []
     ends = df.groupBy(by).agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)), *more)
-    df = df.join(ends, by)
+    return scaled(df.join(ends, by), columns)
+
+
+def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same for rows that carry the ends of each column, _min_ and _max_."""
     for c in columns:
         lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")
         df = df.withColumn(c, F.when(hi - lo < 1e-9, F.when(hi == 0, 0.0).otherwise(1.0)).otherwise((F.col(c) - lo) / (hi - lo))).drop(f"_min_{c}", f"_max_{c}")
     return df
 
 
-def combined(urgent: Column) -> Column:
-    sums = [sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)) for weights in (URGENT, RELEVANCE)]
+def _ends(signal: DataFrame, rest: DataFrame, name: str, n: int) -> DataFrame:
+    """Smallest and largest value of a signal (query_id, hospital_id, `name`) over `n` facilities; those without a row have 0."""
+    got = signal.join(rest.select("query_id"), "query_id", "left_semi").groupBy("query_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi"), F.count(F.lit(1)).alias("k"))
+    zero = lambda f, c: F.when(F.col("k") < n, f(F.col(c), F.lit(0.0))).otherwise(F.col(c))
+    return got.select("query_id", zero(F.least, "lo").alias(f"_min_{name}"), zero(F.greatest, "hi").alias(f"_max_{name}"))
+
+
+def contenders(rest: DataFrame, facilities: DataFrame, keyword: DataFrame, semantic: DataFrame, k: int, deep: int) -> DataFrame:
+    """(query_id, hospital_id): for queries that every facility is a candidate of, all that can be among the best `k`.
+
+    A facility of which text, meaning and place say nothing scores by its trust alone. So the
+    contenders are those with a keyword, semantic or location signal, which are joined by key, and
+    the `k` + `deep` first by trust and id: at most `deep` facilities of a query have a semantic
+    signal, which may be negative, so `k` of these at least score no less than any facility left out.
+    Queries of a place without a radius give every facility a location, so there the first are by
+    trust and location together.
+    """
+    f = facilities.select("hospital_id", "state", "district", "lat", "lon", "trust_score")
+    dense = F.expr("q_lat is not null and not coalesce(radius_km > 0, false)")
+    q = rest.withColumn("want", text.normal_state(F.col("state")))
+    asked = q.select("query_id", F.col("state").alias("q_state"), "want", "q_lat", "q_lon", "radius_km", "sort")
+    signals = [s.join(rest.select("query_id"), "query_id", "left_semi").select("query_id", "hospital_id") for s in (keyword, semantic)]
+    circle = geo.radius_join(asked.where(_CIRCLE).select("query_id", "q_lat", "q_lon", "radius_km"), f.select("hospital_id", "lat", "lon")).select("query_id", "hospital_id")
+    here = f.select("hospital_id", "lat", F.array_distinct(F.array(text.normal_state(F.col("state")), F.lower(text.strip(F.coalesce("district", F.lit("")))))).alias("names"))
+    named = asked.where("want is not null").join(here.withColumn("want", F.explode("names")), "want").where("q_lat is null or lat is null").select("query_id", "hospital_id")
+    by_trust = f.orderBy(F.desc("trust_score"), "hospital_id").limit(k + deep).select("hospital_id")
+    first = asked.where(~dense).select("query_id").crossJoin(F.broadcast(by_trust))  # k + deep rows
+    placed = asked.where(dense).crossJoin(f).withColumn("_part", combined(F.col("sort") == "distance", {"location": geo.location_score()["score"], "trust": F.col("trust_score") / 100.0}))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_part"), "hospital_id")
+    placed = placed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + deep).select("query_id", "hospital_id")  # cut where they lie, then by query
+    out = first.union(placed).union(circle).union(named)
+    for s in signals:
+        out = out.union(s)
+    return out.distinct()
+
+
+def combined(urgent: Column, signals: dict[str, Column] | None = None) -> Column:
+    """The weighted sum of the signals, by default the columns of their names."""
+    signals = signals or {k: F.col(k) for k in RELEVANCE}
+    sums = [sum((signals[k] * w for k, w in weights.items() if k in signals), F.lit(0.0)) for weights in (URGENT, RELEVANCE)]
     return F.when(urgent, sums[0]).otherwise(sums[1])
 
 
@@ -79,27 +125,38 @@ def semantic_scores(queries: DataFrame, facilities: DataFrame, encoder: vectors.
     return found.select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("semantic"))
 
 
-def hybrid_search(queries: DataFrame, facilities: DataFrame, pins: DataFrame, k: int = 10, semantic: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, facilities: DataFrame, pins: DataFrame, k: int = 10, semantic: DataFrame | None = None, deep: int = 200) -> DataFrame:
     """The best k facilities of each parsed query, with signals and an explanation.
 
     queries: the columns of parse_queries and query_id. facilities: enriched, with lat and lon.
-    semantic: (query_id, hospital_id, semantic) over the whole table, absent pairs 0.
+    semantic: (query_id, hospital_id, semantic) over the whole table, `deep` rows a query at most,
+    absent pairs 0. Equal scores, to nine digits, go to the smaller id.
     """
     q = geo.pin_coords(queries, pins, "pin", "_at").withColumns({"q_lat": F.col("_at.lat"), "q_lon": F.col("_at.lon")}).drop("_at")
-    pairs = filter_candidates(q, facilities)
+    q = tables.stage(q, "asked")
+    found = tables.stage(candidates_found(q, facilities), "candidates")
+    rest = tables.stage(q.join(found.select("query_id").distinct(), "query_id", "left_anti"), "rest")
     keyword = bm25.scores(queries.select("query_id", text.tokens(F.col("raw_query")).alias("tokens")), facilities.select("hospital_id", text.tokens(F.col("search_text")).alias("tokens")), "hospital_id")
-    keyword = keyword.select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("keyword"))
+    keyword = tables.stage(keyword.select(F.col("query").alias("query_id"), F.col("id").alias("hospital_id"), F.col("score").alias("keyword")), "keyword")
     if semantic is None:
-        semantic = pairs.select("query_id", "hospital_id", F.lit(0.0).alias("semantic")).limit(0)
+        semantic = keyword.select("query_id", "hospital_id", F.lit(0.0).alias("semantic")).limit(0)
     asked = q.select("query_id", F.col("state").alias("q_state"), "q_lat", "q_lon", "radius_km", "specialties", "requirements", "sort")
     fac = facilities.select("hospital_id", "state", "district", "lat", "lon", "trust_score")
-    rows = pairs.join(keyword, ["query_id", "hospital_id"], "left").join(semantic, ["query_id", "hospital_id"], "left").fillna(0.0, ["keyword", "semantic"])
+    joined = lambda pairs: pairs.join(keyword, ["query_id", "hospital_id"], "left").join(semantic, ["query_id", "hospital_id"], "left").fillna(0.0, ["keyword", "semantic"])
+    rows = minmax(joined(found), ["semantic", "keyword"], counted="total_candidates")
+    if not rest.isEmpty():  # every facility is a candidate; those that cannot be among the best never become rows
+        n = facilities.count()
+        others = joined(contenders(rest, facilities, keyword, semantic, k, deep)).withColumn("total_candidates", F.lit(n).cast("long"))
+        for signal, name in ((semantic, "semantic"), (keyword, "keyword")):
+            others = others.join(_ends(signal, rest, name, n), "query_id", "left").fillna(0.0, [f"_min_{name}", f"_max_{name}"])
+        rows = rows.unionByName(scaled(others, ["semantic", "keyword"]).select(*rows.columns))
     rows = rows.join(tables.fits(queries, 400)(asked), "query_id").join(fac, "hospital_id").withColumn("_loc", geo.location_score())
     rows = rows.withColumns({"location": F.col("_loc.score"), "distance_km": F.col("_loc.km"), "trust": F.col("trust_score") / 100.0}).drop("_loc")
-    rows = minmax(rows, ["semantic", "keyword"], counted="total_candidates").withColumn("score", combined(F.col("sort") == "distance"))
-    best = tables.stage(top_k(rows, k).withColumnRenamed("state", "f_state"), "best")
+    rows = rows.withColumn("score", combined(F.col("sort") == "distance")).withColumn("_by", F.round("score", 9))
+    best = tables.stage(top_k(rows, k, score="_by").drop("_by").withColumnRenamed("state", "f_state"), "best")
     more = facilities.select("hospital_id", "hospital_name", "pin_code", "specialty_tags", "specialty_tags_full", "equipment_tags_full", "trust_breakdown")
     best = more.join(tables.fits(best, 400)(best), "hospital_id").withColumn("matched", matched_features())  # k rows a query
+    tables.drop(found, rest, keyword, q)
     return best.withColumn("explanation", explanation()).select(
         "query_id", "rank", "hospital_id", "hospital_name", "score", "semantic", "keyword", "trust", "location", "total_candidates", "trust_score", "trust_breakdown",
         F.col("f_state").alias("state"), "district", "pin_code", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "distance_km", "matched", "explanation",

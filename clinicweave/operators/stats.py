@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from . import scoring
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -57,11 +58,13 @@ def heatmap(df: DataFrame, n: int = 20) -> DataFrame:
 
 
 def flagged(df: DataFrame, n: int = 50) -> DataFrame:
-    found = F.filter("trust_breakdown", lambda x: F.contains(F.lower(x["rule"]), F.lit("contradiction")))
+    """The contradiction of the first `n` scored facilities that have one: these are found by their flag, and only they are cited."""
+    first = df.where("_clash").orderBy("hospital_id").limit(n)
+    rows = scoring.breakdown(scoring.cite(first))
+    hit = F.element_at(F.filter("trust_breakdown", lambda x: F.contains(F.lower(x["rule"]), F.lit("contradiction"))), 1)
     blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    # exploding the first hit filters without a copy of the whole breakdown in the filter's condition
-    rows = df.select("hospital_id", "hospital_name", blank("state"), blank("district"), blank("pin_code"), "trust_score", F.explode(F.slice(found, 1, 1)).alias("hit"))
-    return rows.select("hospital_id", "hospital_name", "state", "district", "pin_code", "trust_score", "hit.rule", "hit.evidence").orderBy("hospital_id").limit(n)
+    rows = rows.select("hospital_id", "hospital_name", blank("state"), blank("district"), blank("pin_code"), "trust_score", hit.alias("hit"))
+    return rows.select("hospital_id", "hospital_name", "state", "district", "pin_code", "trust_score", "hit.rule", "hit.evidence")
 
 
 def filter_flagged(rows: DataFrame, needle: str) -> DataFrame:

@@ -7,9 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text, vocab
 
@@ -23,9 +22,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder, `spark.checkpoint.dir`, and read it back; a session on one machine may lack it."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, `spark.checkpoint.dir`, that goes when Python ends; a session on one machine may lack the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -33,9 +31,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clinicweave-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _STAGED.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
 
@@ -50,10 +54,11 @@ def again(df: DataFrame) -> DataFrame:
 def drop(*staged: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in staged:
-        _delete(df.sparkSession, df._staged)
+        remove(df.sparkSession, df._staged)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -64,7 +69,7 @@ def _forget() -> None:
     spark = SparkSession.getActiveSession()
     try:
         for path in _STAGED if spark else ():
-            _delete(spark, path)
+            remove(spark, path)
     except Exception:  # the JVM may be gone before Python ends
         return
 
@@ -79,8 +84,8 @@ def read_facilities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("nullValue", "").csv(path)
 
 
-def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = vocab.COLUMN_ALIASES) -> DataFrame:
-    """Canonical columns, each from the first alias present; absent: empty text or null number."""
+def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = vocab.COLUMN_ALIASES, more: list[str] = ()) -> DataFrame:
+    """Canonical columns, each from the first alias present; absent: empty text or null number. Columns in `more` come along."""
     found = {c.strip().lower(): c for c in reversed(df.columns)}
     out = []
     for name, names in aliases.items():
@@ -91,7 +96,7 @@ def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = vocab.COLUMN_
             value = text.strip(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))) if source else F.lit("")
             out.append((text.flatten_json_list(value) if name in vocab.LISTS else text.clean_pin(value) if name == "pin_code" else value).alias(name))
     keep = [F.col("hospital_id")] if "hospital_id" in df.columns else []
-    return df.select(*keep, *out)
+    return df.select(*keep, *out, *more)
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -103,11 +108,28 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, order_by: list[str], id_col: str = "hospital_id") -> DataFrame:
-    """Dense ids from 0 in `order_by` order: a range sort, then each partition's offset; no single window."""
-    spark = df.sparkSession
-    ordered = df.orderBy(*order_by)
-    schema = T.StructType([*ordered.schema.fields, T.StructField(id_col, T.LongType())])
-    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Dense ids from 0 in `order_by` order.
+
+    A range sort is written once with each row's partition and place; the partitions' counts become
+    offsets, a row for each. No single window over the rows, no Python.
+    """
+    part, at, before = (_free(df, x) for x in ("part", "at", "before"))
+    number = F.monotonically_increasing_id()  # the partition's number above 33 bits of places in it
+    rows = stage(df.orderBy(*order_by).withColumn(at, number).withColumns({part: F.shiftright(at, 33), at: F.col(at).bitwiseAND(F.lit(2**33 - 1))}), "ordered")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = sizes.select(F.col(part).alias(before), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k"))
+    k = _free(df, "k")
+    offsets = offsets.withColumnRenamed("k", k)
+    out = rows.join(F.broadcast(offsets), F.col(part) == F.col(before)).withColumn(id_col, F.col(k) + F.col(at))
+    return out.select(*(F.col(f"`{c}`") for c in [*(c for c in df.columns if c != id_col), id_col]))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it that keep it apart from the columns of `df`."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
 
 
 def read_pins(spark: SparkSession, path: str) -> DataFrame:

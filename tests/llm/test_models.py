@@ -162,3 +162,21 @@ def test_rejection_by_hand(spark):
     langid.calibrate(models, held)
     gap, best = (h[:300, 1] - h[:300, 0])[right], h[:300, 0][right]
     assert abs(models.margin - np.percentile(gap, 0.5)) < 1e-6 and abs(models.worst - 1.25 * np.percentile(best, 99.5)) < 1e-6
+
+
+def test_rare_ngrams_go_where_models_would_be_too_large(spark):
+    rng = np.random.default_rng(3)
+    words = {"aa": ["haus", "garten", "straße", "blume"], "bb": ["house", "garden", "street", "flower"]}
+    rows = [(k, " ".join(rng.choice(words[lang], 8)) + " " + "".join(rng.choice(list("abcdefgh"), 5)), lang) for k in range(200) for lang in [sorted(words)[k % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.train(docs)
+    size = sum(len(k) for k in whole.keys) * (8 + 8 * 2)
+    few = langid.train(docs, most_bytes=int(0.8 * size))
+    assert sum(len(k) for k in few.keys) * 24 <= 0.8 * size and [len(k) for k in few.keys[:3]] == [len(k) for k in whole.keys[:3]]
+    names = few.predict([t for _, t, _ in rows])[0]
+    assert np.mean([n == lang for n, (_, _, lang) in zip(names, rows)]) > 0.98
+    try:
+        langid.train(docs, most_bytes=100)
+        raise AssertionError("a bound that nothing fits in")
+    except ValueError as e:
+        assert "lower the order" in str(e)

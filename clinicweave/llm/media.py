@@ -2,9 +2,8 @@
 
 `to_media` stores bytes as the samples of one track; `probe` walks the nested boxes of any such
 file, decodes each track's sample tables and gives codec, duration and the byte ranges of keyframes
-without touching the samples; `payload` reads the samples' bytes back through the tables. Files in
-fragments (moof boxes) show only the samples that their moov box lists, and compact size tables
-(stz2) are not read.
+without touching the samples; `payload` reads the samples' bytes back through the tables. Samples of
+fragments (moof boxes) follow those of the moov box; sizes may stand in stsz or stz2 tables.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from .common import give_back
 
 RATE = 8000  # samples a second, one byte each
 UNIT, PER_CHUNK, KEY_EVERY, PAD = 4096, 8, 4, 64
-_HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+_HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
 _MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -108,12 +107,90 @@ def tables(data: memoryview) -> list[dict]:
     Tables that do not fit together, or point outside of the file, are an error.
     """
     tracks: list[dict[str, tuple[int, int]]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}  # by track: duration, size and flags of a sample
+    runs: list[tuple[int, int, int, list[int]]] = []  # by fragment: moof, tfhd, track and its truns
+    moof = 0
     for path, start, end in boxes(data):
         if path == "/moov/trak":
             tracks.append({})
         elif path.startswith("/moov/trak/"):
             tracks[-1].setdefault(path.rsplit("/", 1)[1], (start, end))
-    return [_table_of(data, t) for t in tracks]
+        elif path == "/moov/mvex/trex":
+            track, _, *rest = struct.unpack_from(">5I", data, start + 4)
+            defaults[track] = tuple(rest)
+        elif path == "/moof":
+            moof = start - (8 if data[start - 4 : start] == b"moof" else 16)  # where the box begins, by the size of its header
+        elif path == "/moof/traf/tfhd":
+            runs.append((moof, start, struct.unpack_from(">I", data, start + 4)[0], []))
+        elif path == "/moof/traf/trun":
+            runs[-1][3].append(start)
+    found = [_table_of(data, t) for t in tracks]
+    if runs:
+        ids = [struct.unpack_from(">I", data, t["tkhd"][0] + (20 if data[t["tkhd"][0]] == 1 else 12))[0] for t in tracks]
+        for of, track in zip(ids, found):
+            _append(data, track, [(m, h, truns) for m, h, t, truns in runs if t == of], defaults.get(of, (0, 0, 0)))
+    return found
+
+
+_NOT_SYNC = 0x10000
+
+
+def _append(data: memoryview, track: dict, fragments: list[tuple[int, int, list[int]]], defaults: tuple[int, int, int]) -> None:
+    """Adds the samples of a track's fragments, in the order of the file."""
+    parts, ticks = [], 0
+    for moof, head, truns in fragments:
+        (flags,) = struct.unpack_from(">I", data, head)
+        at, values = head + 8, list(defaults)
+        base = moof
+        if flags & 0x1:
+            (base,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        at += 4 * bool(flags & 0x2)
+        for k, bit in enumerate((0x8, 0x10, 0x20)):
+            if flags & bit:
+                (values[k],) = struct.unpack_from(">I", data, at)
+                at += 4
+        place = base
+        for start in truns:
+            flags, n = struct.unpack_from(">II", data, start)
+            at, first = start + 8, None
+            if flags & 0x1:
+                place = base + struct.unpack_from(">i", data, at)[0]
+                at += 4
+            if flags & 0x4:
+                (first,) = struct.unpack_from(">I", data, at)
+                at += 4
+            own = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if n * max(1, 4 * len(own)) > len(data):
+                raise ValueError("more samples than the file can hold")
+            table = np.frombuffer(data, ">u4", n * len(own), at).astype(np.int64).reshape(n, len(own))
+            column = lambda bit, k: table[:, own.index(bit)] if bit in own else np.full(n, values[k])
+            sizes, marks = column(0x200, 1), column(0x400, 2).copy()
+            if first is not None and n:
+                marks[0] = first
+            parts.append((place + np.cumsum(sizes) - sizes, sizes, marks & _NOT_SYNC == 0))
+            ticks += int(column(0x100, 0).sum())
+            place += int(sizes.sum())
+    if not parts:
+        return
+    offsets, sizes, key = (np.concatenate(x) for x in zip(*parts))
+    if len(offsets) and (offsets.min() < 0 or (offsets + sizes).max() > len(data)):
+        raise ValueError("samples outside of the file")
+    for name, more in (("offsets", offsets), ("sizes", sizes), ("key", key)):
+        track[name] = np.concatenate([track[name], more])
+    track["ticks"] += ticks
+    track["duration"] = max(track["duration"], track["ticks"])  # the header of a file in fragments may leave it open
+
+
+def _compact(data: memoryview, at: int) -> np.ndarray:
+    """Sizes of 4, 8 or 16 bits."""
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16) or n * bits // 8 > len(data):
+        raise ValueError("a table of compact sizes that cannot be")
+    if bits == 16:
+        return np.frombuffer(data, ">u2", n, at + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, -(-n * bits // 8), at + 12).astype(np.int64)
+    return raw if bits == 8 else np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n]
 
 
 def _table_of(data: memoryview, track: dict[str, tuple[int, int]]) -> dict:
@@ -125,10 +202,14 @@ def _table_of(data: memoryview, track: dict[str, tuple[int, int]]) -> dict:
     codec = bytes(data[at["stsd"] + 12 : at["stsd"] + 16]).decode("latin-1")
     head = at["mdhd"]
     scale, duration = struct.unpack_from(">IQ", data, head + 20) if data[head] == 1 else struct.unpack_from(">II", data, head + 12)
-    fixed, n = struct.unpack_from(">II", data, at["stsz"] + 4)
-    if (fixed or 4) * n > len(data):
-        raise ValueError("more samples than the file can hold")
-    sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at["stsz"] + 12).astype(np.int64)
+    if "stsz" in at or "stz2" not in at:
+        fixed, n = struct.unpack_from(">II", data, at["stsz"] + 4)
+        if (fixed or 4) * n > len(data):
+            raise ValueError("more samples than the file can hold")
+        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at["stsz"] + 12).astype(np.int64)
+    else:
+        sizes = _compact(data, at["stz2"])
+        n = len(sizes)
     chunk_at = _rows(data, at["stco"], 1)[:, 0] if "stco" in at else _rows(data, at["co64"], 1, ">u8")[:, 0]
     per = _rows(data, at["stsc"], 3)
     counts = np.repeat(per[:, 1], np.diff(np.append(per[:, 0], len(chunk_at) + 1))) if len(per) else np.empty(0, np.int64)
@@ -174,8 +255,8 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_bytes (of the text in UTF-8), media (the file).
 
     Null texts count as empty ones, whose payload is 64 zeros. Equal texts give equal files; rows that
-    repeat and rows without an id are each stored. Texts of any length are stored whole, 64 files at a
-    time; above 4 GB the boxes use 64-bit sizes. Other columns are ignored. No rows give no files.
+    repeat and rows without an id are each stored. Texts of any length that a column holds (2 GB) are
+    stored whole, 64 files at a time. Other columns are ignored. No rows give no files.
     """
 
     def run(batches):

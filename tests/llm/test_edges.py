@@ -516,6 +516,42 @@ def test_media_tracks_are_kept_apart(spark):
     assert all(got[k].codec is None and got[k].media_bytes > 0 for k in range(1, len(rows)))
 
 
+def test_media_in_fragments_and_compact_sizes(spark):
+    """Samples of fragments follow those of the header: defaults, own values, offsets and flags from each place they may stand in."""
+    box, full = media._box, media._full
+    u32 = lambda *x: struct.pack(f">{len(x)}I", *x)
+    flagged = lambda kind, flags, *body: box(kind, u32(flags), *body)
+    body = bytes(range(120))
+    ftyp = box(b"ftyp", b"isom")
+    stbl = box(b"stbl", full(b"stsd", u32(1), box(b"avc1", bytes(8))), full(b"stts", u32(0)), full(b"stsc", u32(0)), full(b"stsz", u32(0, 0)), full(b"stco", u32(0)))
+    trak = box(b"trak", full(b"tkhd", u32(0, 0, 9, 0, 0)), box(b"mdia", full(b"mdhd", u32(0, 0, 100, 0)), full(b"hdlr", bytes(4), b"vide", bytes(12)), box(b"minf", stbl)))
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", u32(9, 1, 10, 5, 0x10000))))
+
+    def fragment(offset):
+        one = box(b"traf", flagged(b"tfhd", 0x20000, u32(9)), flagged(b"trun", 0x1 | 0x4, u32(3), struct.pack(">i", offset), u32(0)), flagged(b"trun", 0x100 | 0x200 | 0x400, u32(2), u32(20, 7, 0x10000, 30, 9, 0)))
+        other = box(b"traf", flagged(b"tfhd", 0x20000, u32(4)), flagged(b"trun", 0x1, u32(1), struct.pack(">i", 0)))
+        two = box(b"traf", flagged(b"tfhd", 0x20000 | 0x8 | 0x10 | 0x20, u32(9, 40, 11, 0)), flagged(b"trun", 0x1 | 0x800, u32(2), struct.pack(">i", offset + 50), u32(0, 0)))
+        return box(b"moof", full(b"mfhd", u32(1)), one, other, two)
+
+    moof = fragment(len(fragment(0)) + 8)
+    file = ftyp + moov + moof + box(b"mdat", body)
+    at = len(ftyp + moov + moof) + 8
+    r = media.probe(spark.createDataFrame([(1, bytearray(file)), (2, bytearray(ftyp + moov + moof + box(b"mdat", body[:40])))], "doc_id long, media binary"))
+    good, bad = sorted(r.collect(), key=lambda r: r.doc_id)
+    assert good.codec == "avc1" and good.duration == (3 * 10 + 20 + 30 + 2 * 40) / 100
+    assert [(x.offset - at, x.length) for x in good.keyframes] == [(0, 5), (22, 9), (50, 11), (61, 11)]
+    assert good.payload_sha256 == hashlib.sha256(body[:31] + body[50:72]).hexdigest() and bad.codec is None
+    for bits, table in ((4, bytes([0x23, 0x40])), (8, bytes([2, 3, 4])), (16, struct.pack(">3H", 2, 3, 4))):
+        assert media._compact(memoryview(u32(0, bits, 3) + table), 0).tolist() == [2, 3, 4]
+    plain = _track(b"soun", [2, 3, 4], [], [3], [len(ftyp) + 8])
+    i = plain.index(b"stsz") - 4
+    size = struct.unpack_from(">I", plain, i)[0]
+    compact = full(b"stz2", u32(8, 3), bytes([2, 3, 4])) + box(b"free", bytes(size - 12 - 8 - 3 - 8))
+    swapped = plain[:i] + compact + plain[i + size :]
+    r = media.probe(spark.createDataFrame([(1, bytearray(ftyp + box(b"mdat", body) + box(b"moov", swapped)))], "doc_id long, media binary")).first()
+    assert r.payload_sha256 == hashlib.sha256(body[:9]).hexdigest()
+
+
 def test_scores_of_doubles_and_other_lengths(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 6))

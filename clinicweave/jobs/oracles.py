@@ -301,6 +301,7 @@ ORACLES = {
  + 20 * (json_extract_string(j, '$.staffing.model') <> 'unknown')::INT - 30 * (len(list_filter(CAST(json_extract(j, '$.contradictions') AS JSON[]), lambda s: json_extract_string(s, '$.severity') IN ('high', 'medium'))) > 0)::INT - 10 * (json_array_length(j, '$.completeness_flags.missing_fields') > 2)::INT)) AS INT) AS verified_score FROM v"""),
     "extraction_status": scored_with(STATUS, "SELECT hospital_id, icu_status, dialysis_status, emergency_status, surgery_status, icu_functional FROM conf"),
     "pin_deserts": scored_with(STATUS, "SELECT pin_code, state, facility_count, round(avg_trust_score, 6) AS avg_trust_score, icu_coverage, dialysis_coverage, emergency_coverage, surgery_coverage, round(centroid_lat, 6) AS centroid_lat, risk AS desert_risk_score, risk >= 0.7 AS is_high_risk, CASE WHEN len(kinds) > 0 THEN array_to_string(kinds, ',') ELSE 'ADEQUATE_COVERAGE' END AS desert_categories FROM pd"),
+    "kept_deserts": scored_with(STATUS, "SELECT pin_code, state, facility_count, round(avg_trust_score, 6) AS avg_trust_score, icu_coverage, dialysis_coverage, emergency_coverage, surgery_coverage, round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon, risk AS desert_risk_score, risk >= 0.7 AS is_high_risk, CASE WHEN len(kinds) > 0 THEN array_to_string(kinds, ',') ELSE 'ADEQUATE_COVERAGE' END AS desert_categories FROM pd"),
     "state_risk_rollup": scored_with(STATUS, "SELECT state, count(*) AS pin_codes, CAST(sum((risk >= 0.7)::INT) AS BIGINT) AS high_risk_pins, round(avg(risk), 6) AS avg_desert_risk FROM pd GROUP BY state ORDER BY round(avg(risk), 6) DESC, state LIMIT 10"),
     "desert_map": scored_with(STATUS, "SELECT pin_code, state, risk AS desert_risk_score FROM pd WHERE list_contains(kinds, 'DIALYSIS_DESERT') ORDER BY risk DESC, pin_code, state LIMIT 100"),
     "desert_summary": scored_with(STATUS + ", m AS (SELECT * FROM pd ORDER BY risk DESC, pin_code, state LIMIT 100)", "SELECT count(*) AS total_regions, count_if(risk >= 0.7) AS high_risk_regions, round(count_if(risk >= 0.7) / count(*) * 100, 6) AS high_risk_percentage FROM m"),

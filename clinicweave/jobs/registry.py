@@ -187,6 +187,18 @@ def pin_deserts(spark, sf_dir):
     return _rounded(rows, "avg_trust_score", "centroid_lat")
 
 
+def kept_deserts(spark, sf_dir):
+    """The same from sums that are kept: a batch, one that is added, and one that is added and removed again; with both coordinates."""
+    rows = tables.stage(extraction.status(gold(spark, sf_dir)).select("hospital_id", "pin_code", "state", "trust_score", *(f"has_{k}" for k in extraction.RISK), "latitude", "longitude"), "status")
+    sums = tables.stage(extraction.desert_sums(rows.where("hospital_id % 3 = 0")), "sums")
+    for n in (1, 2):
+        sums = tables.stage(extraction.merge_sums(sums, extraction.desert_sums(rows.where(f"hospital_id % 3 = {n}"))), "sums")
+    twice = rows.where("hospital_id % 5 = 0").withColumn("pin_code", F.concat("pin_code", F.lit("x")))
+    sums = extraction.merge_sums(sums, extraction.desert_sums(twice), extraction.desert_sums(twice, sign=-1))
+    found = extraction.deserts_of(sums).withColumn("desert_categories", F.array_join("desert_categories", ","))
+    return _rounded(found, "avg_trust_score", "centroid_lat", "centroid_lon")
+
+
 def state_risk_rollup(spark, sf_dir):
     return _rounded(extraction.state_risk(_deserts(spark, sf_dir)), "avg_desert_risk")
 
@@ -336,7 +348,7 @@ QUERIES = {
     for f in (
         state_deserts, canonical_facilities, facility_tags, trust_scores, trust_breakdown, search_text, worst_state, overview, specialty_state_counts, specialty_summary, specialty_matrix, heatmap,
         flagged_contradictions, flagged_search, quality_report, state_counts, facility_coords, radius_join, tokens, sentences, bm25_topk, vector_topk, minmax_rank, l2_normalize, extraction_trust,
-        verified_trust, extraction_status, pin_deserts, state_risk_rollup, desert_map, desert_summary, needs_correction, merge_updates, merge_buckets, export_geo, hybrid_search, hybrid_ranking, tfidf_features, svd_embed,
+        verified_trust, extraction_status, pin_deserts, kept_deserts, state_risk_rollup, desert_map, desert_summary, needs_correction, merge_updates, merge_buckets, export_geo, hybrid_search, hybrid_ranking, tfidf_features, svd_embed,
         parsed_queries, search_candidates, nonempty_facilities, facility_ids, bronze, geo_export, facility_records, vector_rerank, trust_evidence, verified_evidence, gold_records,
     )
 }

@@ -144,16 +144,42 @@ def status(df: DataFrame) -> DataFrame:
     return df.withColumn("icu_functional", _claimed(F.col("icu_status")) & (_get("icu.functional_status", "unknown") != "non_functional"))
 
 
-def pin_deserts(df: DataFrame, pin: str = "pin_code", state: str = "state", trust: str = "trust_score") -> DataFrame:
-    """Coverage and risk by postal code and state; rows without a code are left out before grouping."""
+def desert_sums(df: DataFrame, pin: str = "pin_code", state: str = "state", trust: str = "trust_score", sign: int = 1) -> DataFrame:
+    """Sums by postal code and state from which deserts follow; those of batches add up, and removed rows count with `sign` -1.
+
+    For each value its sum and how many rows have it, so that nulls count as they do in a mean. Rows
+    without a code are left out before grouping.
+    """
+    values = {"trust": trust, **{k: f"has_{k}" for k in RISK}, "lat": "latitude", "lon": "longitude"}
     rows = df.where(F.coalesce(pin, F.lit("")) != "")
-    got = rows.groupBy(pin, state).agg(F.count(F.lit(1)).alias("facility_count"), F.avg(trust).alias("avg_trust_score"), *(F.round(F.avg(f"has_{k}"), 3).alias(f"{k}_coverage") for k in RISK), F.avg("latitude").alias("centroid_lat"), F.avg("longitude").alias("centroid_lon"))
+    each = [x for k, c in values.items() for x in ((F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) * sign).alias(f"{k}_sum"), (F.count(c) * sign).alias(f"{k}_n"))]
+    return rows.groupBy(F.col(pin).alias("pin_code"), F.col(state).alias("state")).agg((F.count(F.lit(1)) * sign).alias("facility_count"), *each)
+
+
+def merge_sums(*sums: DataFrame) -> DataFrame:
+    """The sums of several batches; groups of which all rows were removed are gone."""
+    every = sums[0]
+    for more in sums[1:]:
+        every = every.unionByName(more)
+    names = [c for c in every.columns if c not in ("pin_code", "state")]
+    return every.groupBy("pin_code", "state").agg(*(F.sum(c).alias(c) for c in names)).where("facility_count > 0")
+
+
+def deserts_of(sums: DataFrame) -> DataFrame:
+    """Coverage and risk by postal code and state, from their sums."""
+    mean = lambda k: F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_sum") / F.col(f"{k}_n"))
+    got = sums.select("pin_code", "state", "facility_count", mean("trust").alias("avg_trust_score"), *(F.round(mean(k), 3).alias(f"{k}_coverage") for k in RISK), mean("lat").alias("centroid_lat"), mean("lon").alias("centroid_lon"))
     risk = sum((w * (1 - F.col(f"{k}_coverage")) for k, w in RISK.items()), F.lit(0.0))
     got = got.withColumn("desert_risk_score", F.round(risk, 3))
     kinds = F.array_compact(F.array(*(F.when(F.col(f"{k}_coverage") < DESERT, F.lit(f"{k.upper()}_DESERT")) for k in RISK)))
     return got.withColumn("is_high_risk", F.col("desert_risk_score") >= HIGH_RISK).withColumn("desert_categories", F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("ADEQUATE_COVERAGE"))))
 
 
+def pin_deserts(df: DataFrame, pin: str = "pin_code", state: str = "state", trust: str = "trust_score") -> DataFrame:
+    """Coverage and risk by postal code and state; rows without a code are left out before grouping."""
+    return deserts_of(desert_sums(df, pin, state, trust)).withColumnsRenamed({"pin_code": pin, "state": state})
+
+
 def state_risk(deserts: DataFrame, state: str = "state", n: int = 10) -> DataFrame:
     got = deserts.groupBy(state).agg(F.count(F.lit(1)).alias("pin_codes"), F.sum(F.col("is_high_risk").cast("int")).alias("high_risk_pins"), F.avg("desert_risk_score").alias("avg_desert_risk"))
     return got.orderBy(F.desc("avg_desert_risk"), state).limit(n)

@@ -59,7 +59,9 @@ def heatmap(df: DataFrame, n: int = 20) -> DataFrame:
 
 def flagged(df: DataFrame, n: int = 50) -> DataFrame:
     """The contradiction of the first `n` scored facilities that have one: these are found by their flag, and only they are cited."""
-    first = df.where("_clash").orderBy("hospital_id").limit(n)
+    # exploding the flag filters without a copy of all that makes it in the filter's condition
+    hit = F.explode(F.when(F.col("_clash"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    first = df.withColumn("_hit", hit).orderBy("hospital_id").limit(n).drop("_hit")
     rows = scoring.breakdown(scoring.cite(first))
     hit = F.element_at(F.filter("trust_breakdown", lambda x: F.contains(F.lower(x["rule"]), F.lit("contradiction"))), 1)
     blank = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)

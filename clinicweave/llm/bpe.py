@@ -160,37 +160,48 @@ class Bpe:
         """Encode chunks that the cache does not hold, all together."""
         pieces, counts = [], []
         for chunk in chunks:
-            clean = unicodedata.normalize("NFC", chunk)
-            clean = clean.lower() if "Σ" not in clean else "".join(c.lower() for c in clean)
-            found = [clean] if clean.isascii() and clean.isalpha() else self.words.findall(clean)
-            counts.append(len(found))
-            pieces += found
-        distinct = dict.fromkeys(pieces)
-        keys = list(distinct)
+            if chunk.isascii():
+                clean = chunk.lower()
+            else:
+                clean = unicodedata.normalize("NFC", chunk)
+                clean = clean.lower() if "Σ" not in clean else "".join(c.lower() for c in clean)
+            if clean.isascii() and clean.isalpha():
+                counts.append(1)
+                pieces.append(clean)
+            else:
+                found = self.words.findall(clean)
+                counts.append(len(found))
+                pieces += found
+        known = self.cache.get
+        distinct = {k: known(k) if k.isalpha() else None for k in dict.fromkeys(pieces)}  # letters alone are their only piece
+        keys = [k for k, ids in distinct.items() if ids is None]
         if keys:
             for k, ids in zip(keys, self.merge([k.encode("utf-8", "replace") for k in keys])):
                 distinct[k] = ids
         at = 0
         for chunk, k in zip(chunks, counts):
-            self.cache[chunk] = b"".join([distinct[p] for p in pieces[at : at + k]])
+            self.cache[chunk] = distinct[pieces[at]] if k == 1 else b"".join([distinct[p] for p in pieces[at : at + k]])
             at += k
 
     def learn(self, texts) -> None:
-        """Encode all new chunks of `texts` together, through one pair index; the cache holds about `keep` chunks."""
+        """Encode all new chunks of `texts` together, through one pair index.
+
+        Beyond about `keep` chunks, those that `texts` do not hold are forgotten; where `texts` alone
+        hold more, `encode` learns again what it lacks.
+        """
         new: set[str] = set()
         for t in texts:
             for part in self._parts(t or ""):
                 if type(part) is list:
                     new.update(part)
-            if len(new) > self.keep // 2:
+            if len(new) > self.keep:
                 new = self._take(new)
         self._take(new)
 
     def _take(self, new: set[str]) -> set[str]:
         missing = [w for w in new if w not in self.cache]
-        if len(self.cache) + len(missing) > self.keep:
-            self.cache.clear()
-            missing = list(new)
+        if missing and len(self.cache) + len(missing) > self.keep:
+            self.cache = {w: self.cache[w] for w in new if w in self.cache}
         self._learn(missing)
         return set()
 

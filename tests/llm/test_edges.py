@@ -79,6 +79,20 @@ def test_bpe_fuzz(text):
 _ONCE: dict = {}
 
 
+def test_bpe_keeps_the_words_of_a_run(tokenizer, monkeypatch):
+    """A full cache forgets only words that the run at hand lacks, and none of the run is encoded twice."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90)]
+    runs = [[" ".join(words[:40])], [" ".join(words[20:60]), words[25] + ", É" + words[26]], [" ".join(words[50:90])], [" ".join(words)]]
+    own, learnt = bpe.Bpe(PATH, keep=50), []
+    plain = own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (learnt.append(set(chunks)), plain(chunks))[1])
+    for run in runs:
+        own.learn(run)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(run)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in run]
+    assert [len(x) for x in learnt[:3]] == [40, 22, 30] and learnt[1] == {*words[40:60], words[25] + ",", "É" + words[26]}
+    assert [x for x in learnt[3:] if x] == [set(words[:50])]
+
+
 def test_packing(docs):
     rows = packing.pack(docs, PATH, window=64).collect()
     by, at = {}, {}

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from clinicweave.llm import common
 from clinicweave.llm.common import write_table
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +133,20 @@ def test_near_lines_go_in_the_pipeline(spark):
     docs = spark.createDataFrame([(1, f"{line}\nfirst"), (2, f"second\n{line[:-1]}"), (3, f"{line[:5]}#{line[6:]}\n\nthird"), (4, f"x{line}y")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
     assert got == {1: f"{line}\nfirst", 2: "second", 3: "\nthird", 4: f"x{line}y"}
+
+
+def test_the_driver_settles_before_each_stage(spark, monkeypatch):
+    """What finished work left in the driver is given back, and each stage begins with that."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    common.settle(spark)
+    least = used()
+    spark.range(400_000).selectExpr("sha2(string(id), 512) s").toArrow()
+    common.settle(spark)
+    assert used() < least + 20_000_000
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "settle", lambda s: seen.append(s))
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        stage(spark, docs, "")
+    assert len(seen) == 3

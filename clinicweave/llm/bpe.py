@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding of whole columns with a public tokenizer file.
 
 Each task splits its texts at white space and encodes every distinct chunk once. New chunks are
-encoded together: one index maps each pair of symbols to all its positions over all of them, the
-ranks that are active are applied in ascending order, and each merge updates only the lists of the
-pairs beside it. Nothing is trained and the file's path is a parameter.
+encoded together. Words of one length are the columns of an array, and each step applies to every
+column its own best merge. Long words share one index that maps each pair of symbols to all its
+positions, the ranks that are active are applied in ascending order, and each merge updates only the
+lists of the pairs beside it. Nothing is trained and the file's path is a parameter.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 _ODD = re.compile("[\x1c-\x1f]")  # split() takes these for white space, the tokenizer does not
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[^{_SPACE}]+")
+_ENDS = frozenset(".,;:!?")  # one of these behind letters is a piece of its own
+_SHORT, _NONE = 48, 1 << 30  # bytes of a word that is encoded in columns, below 64; the key of a pair that never merges
 
 
 def _byte_chars() -> list[str]:
@@ -62,6 +66,17 @@ class Bpe:
         self.code_rank = np.array([self.rank[x] for x in self.code.tolist()], np.int64)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        self.odd = "[\x1c-\x1f]" + "".join("|" + re.escape(t) for t in self.added)
+        self.into = np.array([c for _, _, c in pairs], np.int32)
+        self.slots = 1 << (4 * len(pairs)).bit_length()  # a hash table of pairs: open addressing, at most a quarter full
+        self.slot_code, self.slot_rank = np.full(self.slots, -1, np.int64), np.full(self.slots, _NONE >> 6, np.int32)
+        left, at = np.arange(len(self.code)), self._slot(self.code)
+        while len(left):
+            free = left[self.slot_code[at[left]] < 0]
+            self.slot_code[at[free]] = self.code[free]  # of those that want one slot, the last gets it
+            left = left[self.slot_code[at[left]] != self.code[left]]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+        self.slot_rank[at] = self.code_rank
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
         self.keep = keep
@@ -72,7 +87,66 @@ class Bpe:
         at[at == len(self.code)] = 0
         return np.where(self.code[at] == codes, self.code_rank[at], -1)
 
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * 0x1E3779B97F4A7C15 >> 32) & (self.slots - 1)
+
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64 times the rank of each pair of symbols, or `_NONE`."""
+        codes = a.astype(np.int64) * self.size + b
+        at = self._slot(codes)
+        found = self.slot_code[at]
+        left = np.flatnonzero((found != codes) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (self.slots - 1)
+            found = self.slot_code[at[left]]
+            left = left[(found != codes[left]) & (found >= 0)]
+        return np.where(self.slot_code[at] == codes, self.slot_rank[at] << 6, _NONE)
+
     def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each non-empty word; those of one length are encoded together."""
+        out = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.searchsorted(sizes[order], np.arange(1, _SHORT + 2)).tolist()
+        for size, i, j in zip(range(1, _SHORT + 1), cuts, cuts[1:]):
+            for at in range(i, j, 16384):  # what the caches of a core hold
+                self._columns(words, order[at : min(j, at + 16384)], size, out)
+        long = order[cuts[-1] :].tolist()
+        if long:
+            for k, ids in zip(long, self._linked([words[k] for k in long])):
+                out[k] = ids
+        return out
+
+    def _columns(self, words: list[bytes], which: np.ndarray, size: int, out: list[bytes]) -> None:
+        """Put into `out` the ids of the words `which`, all of `size` bytes: each is a column of symbols.
+
+        A key is 64 times a pair's rank plus its row, so the smallest of a column is its next merge, the
+        leftmost of equal ones. Each step makes every column shorter by one; finished ones leave.
+        """
+        raw = np.frombuffer(b"".join([words[k] for k in which.tolist()]), np.uint8).reshape(-1, size).T
+        sym = self.inner[raw].astype(np.int32)
+        sym[-1] = self.final[raw[-1]]
+        key = self._keys(sym[:-1].ravel(), sym[1:].ravel()).reshape(sym[1:].shape) + np.arange(size - 1, dtype=np.int32)[:, None]
+        while len(which):
+            best = key.min(axis=0) if len(key) else np.full(len(which), _NONE, np.int32)
+            more = best < _NONE >> 1
+            if not more.all():
+                flat, step = np.ascontiguousarray(sym[:, ~more].T, "<u4").tobytes(), 4 * len(sym)
+                for k, at in zip(which[~more].tolist(), range(0, len(flat), step)):
+                    out[k] = flat[at : at + step]
+                which, best, sym, key = which[more], best[more], sym[:, more], key[:, more]
+                if not len(which):
+                    return
+            row, new, column = (best & 63).astype(np.int64), self.into[best >> 6], np.arange(len(which))
+            rows = np.arange(len(sym) - 1, dtype=np.int32)[:, None]
+            sym = np.where(rows < row, sym[:-1], sym[1:])
+            sym[row, column] = new
+            key = np.where(rows[:-1] < row, key[:-1], key[1:] - 1)
+            for beside, place in ((np.flatnonzero(row > 0), -1), (np.flatnonzero(row < len(key)), 0)):
+                at = row[beside] + place
+                key[at, beside] = self._keys(sym[at, beside], sym[at + 1, beside]) + at
+
+    def _linked(self, words: list[bytes]) -> list[bytes]:
         """Ids of each non-empty word, all words at once: one list of symbols, linked both ways.
 
         Lists of a few positions are applied one by one, long ones as arrays over the same memory.
@@ -165,9 +239,12 @@ class Bpe:
             else:
                 clean = unicodedata.normalize("NFC", chunk)
                 clean = clean.lower() if "Σ" not in clean else "".join(c.lower() for c in clean)
-            if clean.isascii() and clean.isalpha():
+            if clean.isalpha():
                 counts.append(1)
                 pieces.append(clean)
+            elif clean[-1:] in _ENDS and clean[:-1].isalpha():
+                counts.append(2)
+                pieces += clean[:-1], clean[-1]
             else:
                 found = self.words.findall(clean)
                 counts.append(len(found))
@@ -180,50 +257,81 @@ class Bpe:
                 distinct[k] = ids
         at = 0
         for chunk, k in zip(chunks, counts):
-            self.cache[chunk] = distinct[pieces[at]] if k == 1 else b"".join([distinct[p] for p in pieces[at : at + k]])
+            if k == 1:
+                self.cache[chunk] = distinct[pieces[at]]
+            elif k == 2:
+                self.cache[chunk] = distinct[pieces[at]] + distinct[pieces[at + 1]]
+            else:
+                self.cache[chunk] = b"".join([distinct[p] for p in pieces[at : at + k]])
             at += k
+        for chunk in self.added.keys() & set(chunks):
+            self.cache[chunk] = self.added[chunk].to_bytes(4, "little")
 
-    def learn(self, texts) -> None:
-        """Encode all new chunks of `texts` together, through one pair index.
-
-        Beyond about `keep` chunks, those that `texts` do not hold are forgotten; where `texts` alone
-        hold more, `encode` learns again what it lacks.
-        """
-        new: set[str] = set()
-        for t in texts:
-            for part in self._parts(t or ""):
-                if type(part) is list:
-                    new.update(part)
-            if len(new) > self.keep:
-                new = self._take(new)
-        self._take(new)
-
-    def _take(self, new: set[str]) -> set[str]:
-        missing = [w for w in new if w not in self.cache]
+    def _take(self, chunks: list[str]) -> None:
+        """Learn new ones of `chunks`. Beyond about `keep` in all, those that `chunks` lack are forgotten."""
+        missing = [w for w in chunks if w not in self.cache]
         if missing and len(self.cache) + len(missing) > self.keep:
-            self.cache = {w: self.cache[w] for w in new if w in self.cache}
-        self._learn(missing)
-        return set()
+            self.cache = {w: self.cache[w] for w in chunks if w in self.cache}
+        if missing:
+            self._learn(missing)
+
+    def _pool(self, texts: list[pa.Array]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Where each array's texts end among all chunks; those chunks by number; ids of all distinct chunks and where each one's end."""
+        lists = [self._split(t) for t in texts]
+        counts = [x.value_lengths().to_numpy() for x in lists]
+        coded = pa.chunked_array([x.flatten() for x in lists]).dictionary_encode()
+        chunks = coded.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist() if len(coded) else []
+        numbers = np.concatenate([np.zeros(0, np.int32), *(x.indices.to_numpy() for x in coded.chunks)])
+        del lists, coded  # before more memory is taken
+        pa.default_memory_pool().release_unused()
+        pool, ends = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(chunks), 2 * self.keep):
+            part = chunks[at : at + 2 * self.keep]
+            self._take(part)
+            found = [self.cache[w] for w in part]
+            pool.append(b"".join(found))
+            ends.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        until = np.cumsum([0, *map(np.sum, counts)]).tolist()
+        cuts = [base + np.append(0, np.cumsum(n, dtype=np.int64)) for base, n in zip(until, counts)]
+        return cuts, numbers, np.frombuffer(b"".join(pool), "<u4"), np.cumsum(np.concatenate(ends))
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode all new chunks of `texts` together."""
+        self._pool([pa.array(texts, pa.string())])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        split = [self._parts(t or "") for t in texts]
-        get = self.cache.__getitem__
-        join = lambda: [b"".join([p if type(p) is bytes else b"".join(map(get, p)) for p in parts]) for parts in split]
-        try:
-            return join()
-        except KeyError:
-            self._learn([w for w in {w for parts in split for p in parts if type(p) is list for w in p} if w not in self.cache])
-            return join()
-
-    def _parts(self, text: str) -> list:
-        """Lists of chunks, and the ids of added tokens between them."""
-        if self.split_added and "<|" in text:
-            out = []
-            for part in self.split_added.split(text):
-                out.append(np.array([self.added[part]], "<u4").tobytes() if part in self.added else self._chunks(part))
-            return out
-        return [self._chunks(text)]
+        return [ids for _, some in self.encoded([pa.array(texts, pa.string())]) for ids in some]
+
+    def encoded(self, texts: list[pa.Array], rows: int = 200):
+        """(array's number and first row, ids of each text) for up to `rows` texts at a time; new chunks of all arrays are encoded together."""
+        cuts, numbers, pool, ends = self._pool(texts)
+        for k, found in enumerate(cuts):
+            for row in range(0, len(found) - 1, rows):
+                some = found[row : row + rows + 1]
+                chunk = numbers[some[0] : some[-1]]
+                size = ends[chunk + 1] - ends[chunk]
+                until = np.append(0, np.cumsum(size))
+                ids = pool[np.repeat(ends[chunk] - until[:-1], size) + np.arange(until[-1])].tobytes()
+                at = (4 * until[some - some[0]]).tolist()
+                yield (k, row), [ids[i:j] for i, j in zip(at, at[1:])]
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """Chunks of each text; an empty one at its ends has no ids."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
+        texts = pc.fill_null(texts, "")
+        if not pc.any(odd).as_py():
+            return pc.utf8_split_whitespace(texts)
+        plain = pc.utf8_split_whitespace(texts.filter(pc.invert(odd)))
+        parts = pa.array([self._parts(t) for t in texts.filter(odd).to_pylist()], plain.type)
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        return pa.concat_arrays([plain, parts]).take(pa.array(place))
+
+    def _parts(self, text: str) -> list[str]:
+        """Chunks, and the added tokens between them."""
+        if not self.split_added:
+            return self._chunks(text)
+        return [c for part in self.split_added.split(text) for c in ([part] if part in self.added else self._chunks(part))]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -241,7 +349,7 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def gathered(batches, chars: int = 16_000_000):
+def gathered(batches, chars: int = 12_000_000):
     """Arrow batches of (id, text), put together until they hold about `chars` bytes of text.
 
     The larger the run, the fewer times a word is encoded; one batch at least is taken whole.
@@ -260,10 +368,8 @@ def gathered(batches, chars: int = 16_000_000):
 def encoded(batches, bpe: Bpe):
     """(ids of the rows, encoded texts) for small runs of rows, after their words are learnt."""
     for held in gathered(batches):
-        bpe.learn(t for batch in held for at in range(0, batch.num_rows, 200) for t in batch.column(1).slice(at, 200).to_pylist())
-        for batch in held:
-            for at in range(0, batch.num_rows, 200):
-                yield batch.column(0).slice(at, 200), bpe.encode(batch.column(1).slice(at, 200).to_pylist())
+        for (k, row), ids in bpe.encoded([batch.column(1) for batch in held]):
+            yield held[k].column(0).slice(row, len(ids)), ids
 
 
 def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

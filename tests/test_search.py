@@ -101,3 +101,29 @@ def test_ids_of_many_partitions(spark):
     assert tables.assign_ids(df.where("false"), ["part"]).count() == 0
     with_gaps = spark.range(0, 40, 1, 8).where("id < 5 or id > 30").selectExpr("id as v")
     assert [r.i for r in tables.assign_ids(with_gaps, ["v"], "i").orderBy("v").collect()] == list(range(14))
+
+
+def test_candidate_pairs_are_not_stored(spark, monkeypatch):
+    """All pairs of repeated queries, with places, radii and states, equal brute force; staged tables stay as short as the input."""
+    places = [(25.6, 85.1), (25.7, 85.3), (13.0, 80.2), (None, None)]
+    fac = spark.createDataFrame([(i, ["Bihar", "Goa", ""][i % 3], ["Sikkim", ""][i % 2], *places[i % 4]) for i in range(60)], "hospital_id long, state string, district string, lat double, lon double")
+    kinds = [("Bihar", None, None, None), ("Bihar", 25.61, 85.14, 30.0), (None, 25.61, 85.14, 10.0), ("Sikkim", None, None, None), (None, 25.61, 85.14, 0.0), (None, 60.0, 0.0, 5.0), ("Goa", 25.61, 85.14, None)]
+    q = spark.createDataFrame([(i, *kinds[i % 7]) for i in range(70)], "query_id long, state string, q_lat double, q_lon double, radius_km double")
+    rows, kept = [], tables.stage
+
+    def stage(df, label):
+        out = kept(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "stage", stage)
+    got = search.filter_candidates(q, fac, 6)
+    assert max(rows) <= 70
+    found = {(r.query_id, r.hospital_id): (r.distance_km, r.location) for r in got.collect()}
+    want = {}
+    for r in q.withColumnRenamed("state", "q_state").crossJoin(fac).withColumn("at", geo.location_score()).withColumns({"want": text.normal_state(F.col("q_state")), "have": text.normal_state(F.col("state"))}).collect():
+        here = r["at"].km is not None and r["at"].km <= r.radius_km and r.want in (None, r.have) if r.q_lat is not None and (r.radius_km or 0) > 0 else r.want is not None and r.want == r.have
+        want.setdefault(r.query_id, []).append((r.hospital_id, here, r["at"]))
+    want = {(i, h): at for i, pairs in want.items() for h, here, at in pairs if here or not any(p[1] for p in pairs)}
+    assert got.count() == len(found) and found.keys() == want.keys()
+    assert all(found[k] == (pytest.approx(at.km, abs=1e-6) if at.km is not None else None, pytest.approx(at.score, abs=1e-6)) for k, at in want.items())

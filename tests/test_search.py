@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clinicweave.functions import text
-from clinicweave.operators import bm25, geo, queries, search
+from clinicweave.operators import bm25, geo, queries, search, topk
 from clinicweave.sources import tables
 
 
@@ -127,3 +127,29 @@ def test_candidate_pairs_are_not_stored(spark, monkeypatch):
     want = {(i, h): at for i, pairs in want.items() for h, here, at in pairs if here or not any(p[1] for p in pairs)}
     assert got.count() == len(found) and found.keys() == want.keys()
     assert all(found[k] == (pytest.approx(at.km, abs=1e-6) if at.km is not None else None, pytest.approx(at.score, abs=1e-6)) for k, at in want.items())
+
+
+def test_repeated_queries_in_bounded_runs(spark):
+    """Equal queries are answered once for all who ask, and runs over few pairs give what one run gives."""
+    fac = spark.createDataFrame([(i, f"N{i}", ["Bihar", "Goa"][i % 2], "", "", 25.6, 85.1 + i / 100, i % 5 * 20, [], [], [], ["icu oxygen", "dental", "heart"][i % 3]) for i in range(40)], KINDS).withColumn("trust_breakdown", F.array().cast("array<struct<rule:string,delta:int>>"))
+    pins = geo.centroids(spark.createDataFrame([("800001", "Bihar", "Patna", 25.61, 85.14)], "pin_code string, state string, district string, latitude double, longitude double"))
+    asked = ["icu in bihar", "dental", "urgent heart 800001 within 10 km"]
+    q = queries.parse_queries(spark.createDataFrame([(i, asked[i % 3]) for i in range(12)], "query_id int, query string"))
+    met = []
+
+    def answer(some):
+        met.append(some.count())
+        return search.hybrid_search(some, fac, pins, 4, at_once=40)
+
+    shown = lambda df: sorted((r.query_id, r["rank"], r.hospital_id, round(r.score, 9), r.total_candidates, r.explanation) for r in df.collect())
+    assert shown(search.once(q, answer)) == shown(search.hybrid_search(q, fac, pins, 4)) and met == [3]
+
+
+def test_scan_equals_search(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (600, 8)).astype(float)  # many ties
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "id long, vec array<double>").repartition(5)
+    asked = vecs.where("id % 40 = 0").withColumnRenamed("id", "query")
+    shown = lambda df: sorted((r["query"], r["rank"], r["id"], r.score) for r in df.collect())
+    assert shown(topk.scan(asked, vecs, 9)) == shown(topk.search(asked, vecs, 9, 10, 50)[0])
+    assert topk.scan(asked.where("false"), vecs, 9).count() == 0
